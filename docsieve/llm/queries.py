@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docsieve.llm import decontaminate, license_scan, simhash, toxicity, token_counts, topk
+from docsieve.llm import decontaminate, license_scan, line_dedup, sharding, simhash, token_counts, topk, toxicity
 from docsieve.llm.text import read
 
 
@@ -18,6 +18,17 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(read(spark, sf_dir, "documents"))
 
 
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.shards(read(spark, sf_dir, "documents"), n_shards=16, law="bytes")
+    return placed.select("doc_id", "size", "text_crc32", "law", "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", F.size(F.split("text", "\n")).alias("n_lines"))
+    found = line_dedup.dedup_lines(docs)
+    return found.select("doc_id", "n_lines", F.size("removed lines").alias("n_removed"), F.col("removed lines").alias("removed_lines"), "text")
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
@@ -52,6 +63,6 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_token_counts, op5_simhash, op6_decontaminate, op7_toxicity, op8_license_scan, op10_topk)
+    for f in (op1_token_counts, op3_sharding, op4_line_dedup, op5_simhash, op6_decontaminate, op7_toxicity, op8_license_scan, op10_topk)
 }
 ORACLE_SQL: dict[str, str] = {}
