@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docsieve.llm import decontaminate, license_scan, line_dedup, sharding, simhash, token_counts, topk, toxicity
+from docsieve.llm import decontaminate, katz, license_scan, line_dedup, sentencepiece_scan, sharding, simhash, token_counts, topk, toxicity
 from docsieve.llm.text import read
 
 
@@ -18,6 +18,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(read(spark, sf_dir, "documents"))
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_scan.encode(read(spark, sf_dir, "documents"))
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shards(read(spark, sf_dir, "documents"), n_shards=16, law="bytes")
     return placed.select("doc_id", "size", "text_crc32", "law", "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -57,12 +61,19 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.license_scan(read(spark, sf_dir, "documents")).drop("covered")
 
 
+def op9_katz_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = katz.train(docs.where(fold("doc_id", 7) != 2))
+    found = katz.score(docs, model).withColumn("train_tokens", F.lit(model.tokens).cast("long"))
+    return found.select("doc_id", (fold("doc_id", 7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_token_counts, op3_sharding, op4_line_dedup, op5_simhash, op6_decontaminate, op7_toxicity, op8_license_scan, op10_topk)
+    for f in (op1_token_counts, op2_sentencepiece, op3_sharding, op4_line_dedup, op5_simhash, op6_decontaminate, op7_toxicity, op8_license_scan, op9_katz_lm, op10_topk)
 }
 ORACLE_SQL: dict[str, str] = {}

@@ -43,23 +43,15 @@ def blank_words_column(text: Column) -> Column:
     return F.array_remove(parts, "")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the shared folder of the session.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names; only where it is unset (tests, one machine) one of our own."""
+    own = os.path.join(tempfile.gettempdir(), "docsieve-checkpoints")
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or own
+
 
-    ``spark.checkpoint.dir`` names the folder on a cluster; only where it is unset (tests,
-    one machine) a folder of our own is used.
-    """
+def cut(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint in the shared folder of the session."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(shared or os.path.join(tempfile.gettempdir(), "docsieve"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
-
-
-def binary_text(df: DataFrame, text_col: str = "text") -> Column:
-    """The text as UTF-8 bytes, so that Python tasks get bytes without decoding."""
-    return df[text_col].cast("binary")
-
-
-def ascii_id(column: Column) -> Column:
-    return F.coalesce(column.cast("string"), F.lit(""))
