@@ -378,7 +378,7 @@ def w09(spark, d):
 
 @query("w11_progress", ("fx_session",), """
 n AS (SELECT *, sum(CASE WHEN kind = 'status' THEN 1 ELSE 0 END) OVER (PARTITION BY session_id ORDER BY ts, seq ROWS UNBOUNDED PRECEDING) AS k FROM fx_session),
-p AS (SELECT *, CASE kind WHEN 'status' THEN ([15, 30, 48, 62, 75, 85])[least(k, 6)] WHEN 'result' THEN 95 ELSE 100 END AS percent FROM n)
+p AS (SELECT *, CASE kind WHEN 'status' THEN ([15, 30, 48, 62, 75, 85])[CAST(least(k, 6) AS BIGINT)] WHEN 'result' THEN 95 ELSE 100 END AS percent FROM n)
 SELECT session_id, seq, CAST(k AS INT) AS n_status, percent, CAST(least(floor(percent / 100.0 * 6), 5) AS INT) AS message FROM p""")
 def w11(spark, d):
     return ranking.progress(fixture(spark, d, "fx_session")).select("session_id", "seq", "n_status", "percent", "message")

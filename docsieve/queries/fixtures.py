@@ -32,7 +32,7 @@ SELECT request_id, pos, name, ticker, year, 'annual_report' AS doc_type, source,
   CASE WHEN pos % 3 = 0 THEN 'Annual Report ' || CAST(year AS STRING) WHEN pos % 3 = 1 THEN name || ' download' ELSE 'Results ' || CAST(year - 1 AS STRING) END AS link_text
 FROM (
   SELECT request_id, name, ticker, year, host, l_suppkey % 5 AS kind,
-    row_number() OVER (PARTITION BY request_id ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate, l_quantity, l_discount) AS pos,
+    CAST(row_number() OVER (PARTITION BY request_id ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate, l_quantity, l_discount) AS INT) AS pos,
     CASE l_suppkey % 3 WHEN 0 THEN 'exchange' WHEN 1 THEN 'ir_crawl' ELSE 'web' END AS source,
     CASE l_suppkey % 7 WHEN 0 THEN 404 WHEN 1 THEN 403 ELSE 200 END AS http_status,
     CASE l_partkey % 9 WHEN 0 THEN '/agm/' WHEN 1 THEN '/uploads/' || CAST(year + 1 AS STRING) || '/' WHEN 2 THEN '/news/' ELSE '/investors/' END AS folder,
