@@ -76,4 +76,21 @@ QUERIES = {
     f.__name__: f
     for f in (op1_token_counts, op2_sentencepiece, op3_sharding, op4_line_dedup, op5_simhash, op6_decontaminate, op7_toxicity, op8_license_scan, op9_katz_lm, op10_topk)
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op6_decontaminate": """
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark),
+m AS (SELECT item_id, w, least(len(w), 10) AS m FROM b WHERE len(w) > 0),
+i AS (SELECT DISTINCT item_id, m, array_to_string(w[k : k + m - 1], ' ') AS phrase FROM m, unnest(range(1, len(w) - m + 2)) AS u(k)),
+p AS (SELECT doc_id, k, l.m, array_to_string(w[k : k + l.m - 1], ' ') AS phrase FROM d, (SELECT DISTINCT m FROM m) AS l, unnest(range(1, len(w) - l.m + 2)) AS u(k)),
+o AS (SELECT doc_id, k, p.m, item_id FROM p JOIN i ON p.m = i.m AND p.phrase = i.phrase),
+h AS (SELECT doc_id, count(DISTINCT place) AS n_hit FROM o, unnest(range(k, k + m)) AS u(place) GROUP BY doc_id),
+n AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, sha256(array_to_string(list_sort(list(DISTINCT item_id::VARCHAR)), ',')) AS items_sha256 FROM o GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, coalesce(items_sha256, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN n USING (doc_id)""",
+    "op10_topk": """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, x.vec_id, CAST(list_dot_product(q.v, x.v) AS BIGINT) AS score FROM v AS q JOIN v AS x ON q.vec_id <> x.vec_id WHERE q.vec_id % 50 = 0)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank, vec_id, score FROM s QUALIFY rank <= 5""",
+}
