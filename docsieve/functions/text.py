@@ -9,13 +9,33 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def branches(words: list[str]) -> str:
+    """Words as a pattern that shares their beginnings, so that few branches are tried at each place."""
+    if "" in words:
+        return ""
+    by: dict[str, list[str]] = {}
+    for w in words:
+        by.setdefault(w[0], []).append(w[1:])
+    parts = [re.escape(c) + (re.escape(rest[0]) if len(rest) == 1 else branches(rest)) for c, rest in by.items()]
+    return parts[0] if len(parts) == 1 else f"(?:{'|'.join(parts)})"
+
+
+def shortest(words: Iterable[str]) -> list[str]:
+    """The words without those that contain another: where such a one occurs, the other does."""
+    unique = list(dict.fromkeys(words))
+    return [w for w in unique if not any(o != w and o in w for o in unique)]
+
+
 def alternation(words: Iterable[str]) -> str:
     """One pattern for a word list; both Java and RE2 read it."""
-    return "|".join(re.escape(w) for w in dict.fromkeys(words))
+    return branches(shortest(words))
 
 
 def any_of(text: Column, words: Iterable[str]) -> Column:
-    return text.rlike(alternation(words))
+    """Whether any of the words occurs. A look at the next character comes before the branches."""
+    few = shortest(words)
+    first = "".join(re.escape(c) for c in dict.fromkeys(w[0] for w in few))
+    return text.rlike(f"(?=[{first}]){branches(few)}")
 
 
 def spaced(text: Column, with_percent: bool = True) -> Column:

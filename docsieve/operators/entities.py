@@ -9,8 +9,7 @@ from pyspark.sql import functions as F
 
 from docsieve.functions import requests as rq
 from docsieve.functions.text import any_of, bare_host, host
-from docsieve.operators.matching import SMALL
-from docsieve.operators.ranking import top_n
+from docsieve.operators.ranking import SMALL, top_n
 
 # Words that tell a company's country, in order.
 COUNTRY_WORDS = (

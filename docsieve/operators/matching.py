@@ -5,10 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docsieve.operators.ranking import top_n
-
-#: Tables up to this many rows may be sent to every executor; matching on parts of names tests every pair.
-SMALL = 200_000
+from docsieve.operators.ranking import SMALL, top_n
 
 
 def exact(requests: DataFrame, master: DataFrame, *, text: str, key: str = "request_id", value: str = "company_id") -> DataFrame:
@@ -69,8 +66,10 @@ def first_fragment(rows: DataFrame, dim: DataFrame, *, text: str, fragment: str
     ``dim (fragment, value, ord)`` is a rule table of at most a few hundred rows, read to the driver and applied as
     one expression, so rows are neither shuffled nor joined.
     """
+    if dim.count() > 1000:
+        raise ValueError("a rule table of more than 1000 entries can't be one expression")
     found = None
-    for r in dim.orderBy("ord").limit(1000).collect():
+    for r in dim.orderBy("ord").collect():
         hit = F.contains(F.lower(text), F.lit(r[fragment].lower()))
         found = F.when(hit, r["value"]) if found is None else found.when(hit, r["value"])
     return rows.withColumn(result, found if found is not None else F.lit(None).cast("string"))

@@ -8,6 +8,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Tables up to this many rows may be sent to every executor.
+SMALL = 200_000
+
+
+def numbered(df: DataFrame, by: Sequence[str], order: Sequence[Column], name: str = "place") -> DataFrame:
+    """All rows, with their place in their group."""
+    return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
+
+
 def top_n(df: DataFrame, by: Sequence[str], order: Sequence[Column], n: int = 1, rank: str | None = None) -> DataFrame:
     """The first n rows of each group. Spark drops the rest before the shuffle (window group limit)."""
     place = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
@@ -64,12 +73,17 @@ def early_or_best(results: DataFrame, *, request: str = "request_id", line: floa
 def autocomplete(prefixes: DataFrame, master: DataFrame, *, limit: int = 10) -> DataFrame:
     """Companies for each prefix: ticker or name equal, starting with or containing it; best tickers first.
 
-    ``prefixes (prefix_id, prefix)`` is a small table of typed texts; the join tests every pair, so it is for a
-    master of a size that fits one executor. Blank prefixes find nothing.
+    Every prefix is tested against every company, so one side must be small: the smaller table goes to all executors
+    after a check of its size. Blank prefixes find nothing.
     """
+    asked = prefixes.where(F.trim("prefix") != "")
+    few_asked = asked.count() <= SMALL
+    if not few_asked and master.count() > SMALL:
+        raise ValueError("too many prefixes and companies to test every pair")
     p, t, n = F.upper(F.trim("prefix")), F.upper("ticker"), F.upper("name")
     rank = F.when(t == p, 100).when(n == p, 95).when(F.startswith(t, p), 80).when(F.startswith(n, p), 75).when(F.contains(t, p), 50).when(F.contains(n, p), 40)
-    hits = master.join(F.broadcast(prefixes.where(F.trim("prefix") != "").limit(10_000)), F.contains(n, p) | F.contains(t, p)).withColumn("score", rank)
+    sides = (master, F.broadcast(asked)) if few_asked else (asked, F.broadcast(master))
+    hits = sides[0].join(sides[1], F.contains(n, p) | F.contains(t, p)).withColumn("score", rank)
     one = first_by(hits, ["prefix_id", "ticker"], [F.desc("score"), F.asc("name")])
     return top_n(one, ["prefix_id"], [F.desc("score"), F.asc("name"), F.asc("ticker")], limit, "place")
 

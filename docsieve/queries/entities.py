@@ -195,7 +195,7 @@ def a03(spark, d):
     one = ranking.first_by(fixture(spark, d, "fx_candidate"), ["request_id", "url"], [F.asc("pos")])
     low = F.lower("url")
     other = (any_of(low, rules.FOREIGN_URL) & ~any_of(low, rules.ENGLISH_URL)).cast("int")
-    return ranking.top_n(one.withColumn("other", other), ["request_id"], [F.asc("other"), F.asc("pos")], 1_000_000, "place").select("request_id", "url", "place")
+    return ranking.numbered(one.withColumn("other", other), ["request_id"], [F.asc("other"), F.asc("pos")]).select("request_id", "url", "place")
 
 
 @query("r23_w04_site_scoped", ("fx_candidate",), f"""
