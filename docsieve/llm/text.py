@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Bytes that separate alphanumeric words: ASCII that is neither digit nor letter.
@@ -31,18 +31,6 @@ def blank_words(text: bytes | None) -> list[bytes]:
     return text.lower().split() if text else []
 
 
-def lower_ascii(text: Column) -> Column:
-    """A-Z in lower case; other letters stay. Pure ASCII takes the cheap path."""
-    ascii_only = F.octet_length(text) == F.char_length(text)
-    return F.when(ascii_only, F.lower(text)).otherwise(F.translate(text, UPPER, UPPER.lower()))
-
-
-def blank_words_column(text: Column) -> Column:
-    """The same as ``blank_words`` as a column; null and empty texts have no words."""
-    parts = F.split(lower_ascii(F.coalesce(text, F.lit(""))), "[\\x20\\x09-\\x0D]+")
-    return F.array_remove(parts, "")
-
-
 def shared_folder(spark: SparkSession) -> str:
     """The folder that ``spark.checkpoint.dir`` names; only where it is unset (tests, one machine) one of our own."""
     own = os.path.join(tempfile.gettempdir(), "docsieve-checkpoints")
@@ -55,3 +43,10 @@ def cut(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """The same as ``cut`` as a Parquet table in the shared folder: smaller, for tables of many columns or rows."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
