@@ -24,13 +24,16 @@ def fuzzy(requests: DataFrame, master: DataFrame, *, text: str, key: str = "requ
     """``key, value, common``: the first company with the same first word and min(2, words) words in common.
 
     The first word is the blocking key of an equi-join, so no pair without it is tested; within a block the number
-    of words in common and then the company's order decide.
+    of words in common and then the company's order decide. Each different list of words is resolved once, on both
+    sides, and the answer joined back to all its requests.
     """
-    asked = requests.select(key, F.array_distinct(significant(F.col(text))).alias("words")).where(F.size("words") > 0).withColumn("first", F.get("words", F.lit(0)))
-    known = master.select(value, F.array_distinct(significant(F.col("name"))).alias("known")).where(F.size("known") > 0).withColumn("first", F.get("known", F.lit(0)))
+    asked = requests.select(key, F.array_distinct(significant(F.col(text))).alias("words")).where(F.size("words") > 0)
+    known = master.select(value, F.array_distinct(significant(F.col("name"))).alias("known")).where(F.size("known") > 0).groupBy("known").agg(F.min(value).alias(value))
+    texts = asked.select("words").distinct().withColumn("first", F.get("words", F.lit(0)))
     common = F.size(F.array_intersect("words", "known"))
-    hits = asked.join(known, "first").withColumn("common", common).where(F.col("common") >= F.least(F.lit(2), F.size("words")))
-    return hits.groupBy(key).agg(F.min(F.struct(-F.col("common"), F.col(value))).alias("b")).select(key, F.col(f"b.{value}").alias(value), (-F.col("b.col1")).alias("common"))
+    hits = texts.join(known.withColumn("first", F.get("known", F.lit(0))), "first").withColumn("common", common).where(F.col("common") >= F.least(F.lit(2), F.size("words")))
+    best = hits.groupBy("words").agg(F.min(F.struct(-F.col("common"), F.col(value))).alias("b"))
+    return asked.join(best, "words").groupBy(key).agg(F.min("b").alias("b")).select(key, F.col(f"b.{value}").alias(value), (-F.col("b.col1")).alias("common"))
 
 
 def contained(requests: DataFrame, master: DataFrame, *, text: str, key: str = "request_id", value: str = "company_id") -> DataFrame:

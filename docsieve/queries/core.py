@@ -411,6 +411,17 @@ def r02(spark, d):
     return matching.fuzzy(fixture(spark, d, "fx_request").where("request_id % 3 = 0"), fixture(spark, d, "fx_company").where("company_id % 7 = 0"), text="name")
 
 
+@query("r02_fuzzy_lookup_whole", ("fx_request",), """
+asked AS (SELECT DISTINCT name, list_distinct(string_split(upper(name), ' ')) AS w, split_part(upper(name), ' ', 1) AS f FROM fx_request),
+known AS (SELECT min(company_id) AS company_id, list_distinct(string_split(upper(name), ' ')) AS k, split_part(upper(name), ' ', 1) AS f FROM fx_company GROUP BY ALL),
+hits AS (SELECT name, company_id, len(list_intersect(w, k)) AS common, len(w) AS n FROM asked JOIN known USING (f)),
+best AS (SELECT name, company_id, common FROM hits WHERE common >= least(2, n) QUALIFY row_number() OVER (PARTITION BY name ORDER BY common DESC, company_id) = 1)
+SELECT request_id, b.company_id, CAST(common AS INT) AS common FROM fx_request JOIN best b USING (name)""")
+def r02_whole(spark, d):
+    """r02 over every request and every company; the rows that r02_fuzzy_lookup takes are set by its SQL."""
+    return matching.fuzzy(fixture(spark, d, "fx_request"), fixture(spark, d, "fx_company"), text="name")
+
+
 @query("r04_contained_name", ("fx_request",), """
 asked AS (SELECT DISTINCT name AS asked FROM fx_request), known AS (SELECT min(p_partkey) AS company_id, p_name AS name FROM part GROUP BY p_name)
 SELECT asked, company_id, CASE WHEN lower(asked) = lower(name) THEN 0 WHEN contains(lower(asked), lower(name)) THEN 1 ELSE 2 END AS step FROM asked JOIN known ON contains(lower(asked), lower(name)) OR contains(lower(name), lower(asked))
