@@ -53,13 +53,16 @@ def contained(requests: DataFrame, master: DataFrame, *, text: str, key: str = "
 def most_overlap(requests: DataFrame, listing: DataFrame, *, text: str, key: str = "request_id", value: str = "company_id") -> DataFrame:
     """``key, value, score``: the listing whose name has most words of the text; a ticker named in the text scores 999.
 
-    Words and tickers are joined by equality, so only listings that share one are looked at.
+    Words and tickers are joined by equality, so only listings that share one are looked at. Of listings with the same
+    name or the same ticker the first stands for all, so a word meets each different name once.
     """
     words = requests.select(key, F.explode(F.array_distinct(F.split(F.lower(F.trim(text)), r"\s+"))).alias("w")).where("w <> ''")
-    names = listing.select(value, F.explode(F.array_distinct(F.split(F.lower(F.trim("name")), r"\s+"))).alias("w"))
+    distinct = listing.groupBy(F.lower(F.trim("name")).alias("name")).agg(F.min(value).alias(value))
+    names = distinct.select(value, F.explode(F.array_distinct(F.split("name", r"\s+"))).alias("w"))
     counts = words.join(names, "w").groupBy(key, value).agg(F.count("*").alias("score"))
-    tickers = words.join(listing.select(value, F.lower("ticker").alias("w")), "w").select(key, value, F.lit(999).cast("long").alias("score"))
-    both = counts.unionByName(tickers)
+    tickers = listing.groupBy(F.lower("ticker").alias("w")).agg(F.min(value).alias(value))
+    named = words.join(tickers, "w").select(key, value, F.lit(999).cast("long").alias("score"))
+    both = counts.unionByName(named)
     return both.groupBy(key).agg(F.min(F.struct(-F.col("score"), F.col(value))).alias("b")).select(key, F.col(f"b.{value}").alias(value), (-F.col("b.col1")).alias("score"))
 
 

@@ -442,6 +442,17 @@ def r07(spark, d):
     return matching.most_overlap(asked, fixture(spark, d, "fx_company").where("company_id % 11 = 0"), text="asked", key="asked")
 
 
+@query("r07_most_overlap_whole", ("fx_request",), """
+asked AS (SELECT DISTINCT raw_query AS asked FROM fx_request), w AS (SELECT asked, unnest(list_distinct(string_split(lower(trim(asked)), ' '))) AS w FROM asked),
+named AS (SELECT lower(name) AS name, min(company_id) AS company_id FROM fx_company GROUP BY ALL), k AS (SELECT company_id, unnest(list_distinct(string_split(name, ' '))) AS w FROM named),
+s AS (SELECT asked, company_id, count(*) AS score FROM w JOIN k USING (w) WHERE w <> '' GROUP BY ALL UNION ALL SELECT asked, company_id, 999 FROM w JOIN fx_company ON w = lower(ticker))
+SELECT asked, company_id, score FROM s QUALIFY row_number() OVER (PARTITION BY asked ORDER BY score DESC, company_id) = 1""")
+def r07_whole(spark, d):
+    """r07 over every company; the rows that r07_most_overlap takes are set by its SQL."""
+    asked = fixture(spark, d, "fx_request").select(F.col("raw_query").alias("asked")).distinct()
+    return matching.most_overlap(asked, fixture(spark, d, "fx_company"), text="asked", key="asked")
+
+
 #: Names of exchanges and the codes they stand for, in order.
 EXCHANGES = (("ring", "XRNG"), ("wid", "XWID"), ("ed ", "XRED"), ("a", "XAAA"))
 

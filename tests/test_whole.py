@@ -38,3 +38,17 @@ def test_fuzzy_lookup_of_repeated_names(spark):
     asked = spark.createDataFrame([(1, "Acme Steel"), (2, "ACME steel"), (2, "Acme Iron Works"), (3, "Acme"), (4, "")], "request_id int, q string")
     master = spark.createDataFrame([(7, "Acme Steel"), (5, "Acme  STEEL"), (6, "Acme Iron Works"), (9, None)], "company_id int, name string")
     assert sorted(rows(matching.fuzzy(asked, master, text="q"), "request_id", "company_id", "common")) == [(1, 5, 2), (2, 6, 3), (3, 5, 1)]
+
+
+@here
+def test_most_overlap_with_all_companies(spark):
+    known = [(c, set(n.lower().split()), t.lower()) for c, n, t in rows(fixture(spark, FOLDER, "fx_company"), "company_id", "name", "ticker")]
+    want = {}
+    for (text,) in set(rows(fixture(spark, FOLDER, "fx_request"), "raw_query")):
+        w = set(text.lower().split())
+        hits = [(-(999 if t in w else len(w & k)), c) for c, k, t in known if t in w or w & k]
+        if hits:
+            want[text] = (min(hits)[1], -min(hits)[0])
+    got = rows(core.QUERIES["r07_most_overlap_whole"](spark, FOLDER), "asked", "company_id", "score")
+    assert {a: (c, n) for a, c, n in got} == want and len(got) == len(want)
+    assert any(c % 11 for c, _ in want.values()) and any(n == 999 and c % 11 for c, n in want.values())
