@@ -1,77 +1,311 @@
-"""Katz backoff language model of order two.
+"""Katz backoff language model of any order.
 
-Bigram counts are discounted by Good-Turing up to a count of ``k``; what a history loses goes to the words not
-seen after it, in proportion to their unigram probability, with a weight that makes the whole sum to one.
-Unigrams are add-one smoothed with one place for all unknown words, so they sum to one as well. Words are held
-by 64-bit hashes (a clash among 10^8 different words has a chance below 0.1 %).
+The counts of every order's n-grams are discounted by Good-Turing up to a count of ``k``. What a context loses
+goes to the words not seen after it, in proportion to their probability after the next shorter context, with a
+weight that makes the whole sum to one; so a token's probability is found by recursion over ever shorter contexts.
+The recursion ends at add-one smoothed unigrams with one place for all unknown words, which sum to one as well.
+Words are told apart by 64-bit hashes (a clash among 10^8 different words has a chance below 0.1 %).
 
-Scale: texts are read once for counting and once for scoring and never shuffled; a task first sums up the pairs
-of a document. Counts, probabilities and weights are tables partitioned by their keys and joined; only the
-numbers of bigrams with a count of 1 to k + 1 come to the driver.
+Tables and their partitioning: texts are read once, as chunks of numbers. Words are numbered by falling count, so a
+table of the different counts (at most the square root of twice the tokens) gives every word's count. N-grams are
+dealt by the word before the last one, so that a bucket holds all contexts that end with a word, of every order, and
+needs no other bucket to evaluate them. A word with more tokens than a bucket takes is spread by the last word over as
+many buckets as it needs, and the sums of its contexts are added up over these. A chunk sends each n-gram once, packed.
+
+Scale: buckets and chunks are bounded (``bucket_tokens``, ``chunk_bytes``). The driver gets the numbers of n-grams
+with a count of 1 to k + 1, and the table of counts.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docsieve.llm.text import blank_words, cut
+from docsieve.llm.text import blank_word_runs, forget, stored
 
-#: No word has a blank, so these are no words.
-BEGIN, END = b" begin", b" end"
+#: No word has a blank, so this is no word.
+END = b" end"
+SUMS = ("total", "kept", "low")
 
 
 @dataclass
-class Model:
-    unigrams: DataFrame  # w, c
-    bigrams: DataFrame  # h, w, p: log10 probability
-    histories: DataFrame  # h, weight: log10 of the backoff weight
+class Vocabulary:
+    words: DataFrame | None  # word, id: 64-bit hash and number, by falling count
+    counts: np.ndarray  # the different counts, falling
+    firsts: np.ndarray  # the number of the first word with each of them
     tokens: int
     types: int
 
+    def bare(self) -> Vocabulary:
+        """What tasks need of it."""
+        return Vocabulary(None, self.counts, self.firsts, self.tokens, self.types)
+
+    def count(self, ids: np.ndarray) -> np.ndarray:
+        """Counts of words by number; ``types`` stands for every unknown word."""
+        if not len(self.counts):
+            return np.zeros(len(ids), np.int64)
+        return np.where(ids < self.types, self.counts[np.searchsorted(self.firsts, ids, "right") - 1], 0)
+
+
+@dataclass
+class Corpus:
+    chunks: DataFrame  # chunk, lengths, learn, tokens (packed), ids
+    words: Vocabulary
+    rows: int
+    tokens: int
+
+
+@dataclass
+class Deal:
+    """Which bucket has an n-gram, by its last two words."""
+
+    words: Vocabulary
+    buckets: int
+    most: int  # tokens of a word in one bucket
+    begins: int
+
+    def shares(self, last: np.ndarray) -> np.ndarray:
+        """Over how many buckets a word is spread; unknown ones over all."""
+        types = self.words.types
+        n = np.where(last == types + 1, self.begins, self.words.count(last))
+        return np.where(last == types, self.buckets, np.maximum(1, -(-n // self.most)))
+
+    def bucket(self, last: np.ndarray, word: np.ndarray) -> np.ndarray:
+        share = mixed(word) % self.shares(last).astype(np.uint64)
+        return (mixed(mixed(last) + share) % np.uint64(self.buckets)).astype(np.int64)
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    x = (x.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ x >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ x >> np.uint64(32)
+
+
+@dataclass
+class Model:
+    corpus: Corpus
+    order: int
+    grams: DataFrame  # j, columns of n-grams and their counts (packed)
+    sums: DataFrame  # contexts that end with a word of several buckets, and their sums
+    factors: list[np.ndarray]  # of each order from 2, by count; past the end 1
+    deal: Deal
+
+
+def packed(x: np.ndarray) -> bytes:
+    """Numbers from 0 on in as many bytes as the largest needs, byte by byte, compressed."""
+    import zstandard
+
+    x = np.ascontiguousarray(x, dtype="<u8")
+    width = max(1, -(-int(x.max(initial=0)).bit_length() // 8))
+    return bytes([width]) + zstandard.ZstdCompressor(level=3).compress(x.view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes())
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    import zstandard
+
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[1:]), np.uint8).reshape(data[0], -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, : data[0]] = planes.T
+    return out.view("<i8").ravel()
+
+
+class Numbers(dict):
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        return n
+
+
+def encoded(docs: DataFrame, id_col: str, text_col: str, learn: Column, chunk_bytes: int) -> DataFrame:
+    """Chunks of rows: tokens as places in the chunk's sorted list of word hashes."""
+    kind = dict(docs.dtypes)[id_col]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+        from pyspark import TaskContext
+
+        chunk = TaskContext.get().partitionId() << 32
+        numbers, tokens, lengths, flags, ids, size = Numbers(), [], [], [], [], 0
+
+        def flush() -> pa.RecordBatch:
+            hashes = np.array([xxhash.xxh64_intdigest(w, 42) for w in numbers], np.uint64)
+            order = np.argsort(hashes)
+            place = np.empty(len(order), np.int32)
+            place[order] = np.arange(len(order))
+            t, n, learned = place[np.concatenate(tokens)], np.array(lengths), np.array(flags, bool)
+            counts = np.bincount(t[np.repeat(learned, n)], minlength=len(order))
+            columns = [packed(np.diff(hashes[order], prepend=np.uint64(0))), packed(counts), packed(t), packed(n), packed(learned)]
+            return pa.RecordBatch.from_arrays([pa.array([chunk]), *[pa.array([c], pa.binary()) for c in columns], pa.array([pa.concat_arrays(ids).to_pylist()], pa.list_(ids[0].type))],
+                                              ["chunk", "words", "counts", "tokens", "lengths", "learn", "ids"])
+
+        for batch in batches:
+            for i, (text, learned) in enumerate(zip(batch["text"], batch["learn"].to_pylist(), strict=True)):
+                text = text.as_py()
+                n = 0
+                for words in (*blank_word_runs(text), [END]):
+                    tokens.append(np.fromiter(map(numbers.__getitem__, words), np.int32, len(words)))
+                    n += len(words)
+                lengths.append(n)
+                flags.append(learned)
+                ids.append(batch["id"].slice(i, 1))
+                size += len(text or b"") + 8
+                if size >= chunk_bytes:
+                    yield flush()
+                    chunk += 1
+                    numbers, tokens, lengths, flags, ids, size = Numbers(), [], [], [], [], 0
+        if lengths:
+            yield flush()
+
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"), F.coalesce(learn, F.lit(False)).alias("learn"))
+    return rows.mapInArrow(run, f"chunk long, words binary, counts binary, tokens binary, lengths binary, learn binary, ids array<{kind}>")
+
+
+def word_hashes(data: bytes) -> np.ndarray:
+    return np.cumsum(unpacked(data).view(np.uint64), dtype=np.uint64).view(np.int64)
+
+
+def vocabulary(chunks: DataFrame) -> Vocabulary:
+    """Words of the rows to learn from, numbered by falling count."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for words, counts in zip(batch["words"].to_pylist(), batch["counts"].to_pylist(), strict=True):
+                n = unpacked(counts)
+                yield pa.RecordBatch.from_arrays([pa.array(word_hashes(words)[n > 0]), pa.array(n[n > 0])], ["word", "n"])
+
+    found = chunks.select("words", "counts").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("c"))
+    part, place = F.spark_partition_id().alias("part"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("place")
+    ranked = stored(found.orderBy(F.desc("c"), "word").select("word", "c", part, place))
+    sizes = {r["part"]: r["count"] for r in ranked.groupBy("part").count().collect()}  # one row per partition
+    before = np.concatenate([[0], np.cumsum([sizes[p] for p in sorted(sizes)])]).astype(int)
+    start = F.create_map(*[x for p, n in zip(sorted(sizes), before[:-1].tolist(), strict=True) for x in (F.lit(p), F.lit(n))])[F.col("part")] if sizes else F.lit(0)
+    table = ranked.groupBy("c").count().orderBy(F.desc("c")).toArrow()
+    counts, n = table["c"].to_numpy().astype(np.int64), table["count"].to_numpy().astype(np.int64)
+    words = ranked.select("word", (start + F.col("place")).cast("long").alias("id"))
+    return Vocabulary(words, counts, np.cumsum(n) - n, int((counts * n).sum()), int(n.sum()))
+
+
+def numbered(chunks: DataFrame, words: Vocabulary) -> DataFrame:
+    """The chunks with tokens as the vocabulary's numbers."""
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk, data in zip(batch["chunk"].to_pylist(), batch["words"].to_pylist(), strict=True):
+                hashes = word_hashes(data)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(hashes), chunk)), pa.array(np.arange(len(hashes), dtype=np.int32)), pa.array(hashes)], ["chunk", "at", "word"])
+
+    asked = chunks.select("chunk", "words").mapInArrow(spread, "chunk long, at int, word long")
+    answer = asked.join(words.words, "word", "left").select("chunk", "at", F.coalesce("id", F.lit(words.types).cast("long")).alias("number"))
+    lists = answer.groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("at", "number")))["number"].alias("numbers"))  # a chunk's words, bounded
+    kind = dict(chunks.dtypes)["ids"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tokens = [packed(n.values.to_numpy()[unpacked(t)]) for n, t in zip(batch["numbers"], batch["tokens"].to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch["chunk"], batch["lengths"], batch["learn"], pa.array(tokens, pa.binary()), batch["ids"]], ["chunk", "lengths", "learn", "tokens", "ids"])
+
+    both = chunks.select("chunk", "tokens", "lengths", "learn", "ids").join(lists, "chunk")
+    return stored(both.mapInArrow(run, f"chunk long, lengths binary, learn binary, tokens binary, ids {kind}"))
+
 
-def number(word: bytes) -> int:
-    import xxhash
+def corpus(docs: DataFrame, *, learn: Column | None = None, words: Vocabulary | None = None, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = 16 << 20) -> Corpus:
+    """All rows of ``docs`` as numbers, by the given vocabulary or by that of the rows for which ``learn`` holds (all, if none is given)."""
+    first = stored(encoded(docs, id_col, text_col, F.lit(True) if learn is None else learn, chunk_bytes))
+    words = words or vocabulary(first)
+    chunks = numbered(first, words)
+    forget(first)
 
-    return xxhash.xxh64_intdigest(word, 42)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = [unpacked(x) for x in batch["lengths"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([len(x) for x in n], pa.int64()), pa.array([int(x.sum()) for x in n], pa.int64())], ["n", "t"])
+
+    size = chunks.select("lengths").mapInArrow(run, "n long, t long").agg(F.sum("n").alias("n"), F.sum("t").alias("t")).first()
+    return Corpus(chunks, words, size["n"] or 0, size["t"] or 0)
+
+
+def contexts(tokens: np.ndarray, lengths: np.ndarray, order: int, begin: int) -> list[np.ndarray]:
+    """The words before each token, the nearest first; ``begin`` before a text's first."""
+    at = np.arange(len(tokens)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    return [np.where(at >= k, np.roll(tokens, k), begin) for k in range(1, order)]
+
+
+def codes(*columns: np.ndarray) -> np.ndarray:
+    """Equal rows of the columns get equal numbers from 0 on."""
+    out = columns[0]
+    for i, c in enumerate(columns[1:]):
+        if int(out.max(initial=0)) + 1 > (1 << 62) // (int(c.max(initial=0)) + 1):
+            out, c = (np.unique(x, return_inverse=True)[1] for x in (out, c))
+        out = out * (int(c.max(initial=0)) + 1) + c
+        if i < len(columns) - 2:
+            out = np.unique(out, return_inverse=True)[1]
+    return np.unique(out, return_inverse=True)[1]
 
 
-def pair_counts(docs: DataFrame) -> DataFrame:
-    """``id, tie, h, w, n`` of each row's neighbouring tokens, from ``id, tie, text``."""
-    kind = dict(docs.dtypes)["id"]
+def sorted_runs(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The order by the columns, the first one first, and where runs of equal rows begin in it."""
+    order = np.lexsort(columns[::-1])
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    for c in columns:
+        x = c[order]
+        new[1:] |= x[1:] != x[:-1]
+    return order, np.flatnonzero(new)
+
+
+def dealt(chunks: DataFrame, order: int, shared, asking: bool) -> DataFrame:
+    """``j, chunk, grams, n, row``: a chunk's different n-grams by bucket with their counts; ``asking``: per row of the chunk, of all rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[bytes, int] = {}
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                owner, h, w, n = [], [], [], []
-                for i, text in enumerate(part["text"].to_pylist()):
-                    words = [BEGIN, *blank_words(text), END]
-                    if len(known) > 500_000:
-                        known.clear()
-                    known.update((x, number(x)) for x in set(words) if x not in known)
-                    counts = Counter(zip(words, words[1:]))
-                    owner.append(len(counts))
-                    h += [known[a] for a, _ in counts]
-                    w += [known[b] for _, b in counts]
-                    n += counts.values()
-                rows = pa.array(np.repeat(np.arange(part.num_rows), owner))
-                signed = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
-                yield pa.RecordBatch.from_arrays([part["id"].take(rows), part["tie"].take(rows), signed(h), signed(w), pa.array(n, pa.int32())], ["id", "tie", "h", "w", "n"])
-
-    return docs.mapInArrow(run, f"id {kind}, tie long, h long, w long, n int")
-
-
-def named(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("tie"), text.cast("binary").alias("text"))
+            for r in batch.to_pylist():
+                tokens, lengths, learn = unpacked(r["tokens"]), unpacked(r["lengths"]), unpacked(r["learn"]) > 0
+                deal = shared.value
+                columns = [*contexts(tokens, lengths, order, deal.words.types + 1), tokens]
+                row = np.repeat(np.arange(len(lengths)), lengths)
+                if not asking:
+                    columns = [c[learn[row]] for c in columns]
+                    row = np.zeros(0, np.int64)
+                keys = [deal.bucket(columns[0], columns[-1]), *columns, *[row] * asking]
+                by, first = sorted_runs(keys)
+                n = np.diff(np.append(first, len(by)))
+                keys = [k[by[first]] for k in keys]
+                edge = np.flatnonzero(np.diff(keys[0], prepend=-1, append=-1))
+                for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+                    grams = [packed(np.diff(keys[1][a:b], prepend=0)), *[packed(k[a:b]) for k in keys[2 : order + 1]]]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([int(keys[0][a])]), pa.array([r["chunk"]]), pa.array([grams], pa.list_(pa.binary())), pa.array([packed(n[a:b])], pa.binary()), pa.array([packed(keys[-1][a:b]) if asking else b""], pa.binary())],
+                        ["j", "chunk", "grams", "n", "row"])
+
+    return chunks.select("chunk", "tokens", "lengths", "learn").mapInArrow(run, "j long, chunk long, grams array<binary>, n binary, row binary")
+
+
+def gathered(table: pa.Table, order: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """Columns of the n-grams of several packed rows, the nearest context word first and the word last, and their counts."""
+    none = np.zeros(0, np.int64)
+    rows = [[np.cumsum(unpacked(g[0])), *map(unpacked, g[1:])] for g in table["grams"].to_pylist()]
+    return [np.concatenate([none, *[r[i] for r in rows]]) for i in range(order)], np.concatenate([none, *map(unpacked, table["n"].to_pylist())])
+
+
+def counted(order: int, k: int):
+    """A bucket's n-grams with their sums; ``found``: how many of each order from 2 have a count of 1 to k + 1."""
+
+    def run(table: pa.Table) -> pa.Table:
+        columns, n = gathered(table, order)
+        by, first = sorted_runs(columns)
+        columns, n = [c[by[first]] for c in columns], np.add.reduceat(n[by], first)
+        found = []
+        for m in range(2, order + 1):
+            sums = np.bincount(codes(*columns[: m - 1], columns[-1]), n).astype(np.int64)
+            found += np.bincount(np.minimum(sums, k + 2), minlength=k + 3)[1 : k + 2].tolist()
+        grams = [packed(np.diff(columns[0], prepend=0)), *map(packed, columns[1:])]
+        return pa.table({"j": pa.array([table["j"][0].as_py()]), "grams": pa.array([grams], pa.list_(pa.binary())), "n": pa.array([packed(n)], pa.binary()), "found": pa.array([found], pa.list_(pa.int64()))})
+
+    return run
 
 
 def discounts(numbers: dict[int, int], k: int) -> dict[int, float]:
@@ -87,54 +321,190 @@ def discounts(numbers: dict[int, int], k: int) -> dict[int, float]:
     return out
 
 
-def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 5) -> Model:
-    """Counts all rows of ``docs``; null and empty texts count as the end token alone."""
-    pairs = pair_counts(named(docs, id_col, text_col))
-    counted = cut(pairs.groupBy("h", "w").agg(F.sum("n").alias("r")))
-    unigrams = cut(counted.groupBy("w").agg(F.sum("r").alias("c")))
-    tokens, types = unigrams.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    numbers = {r["r"]: r["count"] for r in counted.where(F.col("r") <= k + 1).groupBy("r").count().collect()}
-    factor = F.lit(1.0)
-    for r, d in discounts(numbers, k).items():
-        factor = F.when(F.col("r") == r, d).otherwise(factor)
-    kept = counted.join(unigrams, "w").select("h", "w", "r", (factor * F.col("r")).alias("kept"), ((F.col("c") + 1) / F.lit(float(tokens + types + 1))).alias("p1"))
-    sums = kept.groupBy("h").agg(F.sum("r").alias("total"), F.sum("kept").alias("kept_all"), F.sum("p1").alias("seen"))
-    # A history all of whose pairs exceed k loses nothing by discounts; one more count then leaves room.
-    base = F.when(F.col("kept_all") >= F.col("total"), F.col("total") + 1).otherwise(F.col("total"))
-    histories = cut(sums.select("h", base.cast("double").alias("base"), F.log10((1 - F.col("kept_all") / base) / (1 - F.col("seen"))).alias("weight")))
-    scaled = counted.select("h", "w", F.log10(factor * F.col("r")).alias("top")).join(histories.select("h", "base"), "h")
-    bigrams = cut(scaled.select("h", "w", (F.col("top") - F.log10("base")).alias("p")))
-    return Model(unigrams, bigrams, histories.select("h", "weight"), int(tokens), int(types))
-
-
-def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id, n_tokens, n_known, base_score, score`` for every row.
+class Level:
+    """The n-grams of one order among rows of n-grams (counts of 0: rows that only ask)."""
+
+    def __init__(self, columns: list[np.ndarray], n: np.ndarray, order: int, factor: np.ndarray):
+        self.context = codes(*columns[: order - 1])
+        self.gram = codes(*columns[: order - 1], columns[-1])
+        self.count = np.bincount(self.gram, n).astype(np.int64)
+        self.mass = self.count * np.where(self.count < len(factor), factor[np.minimum(self.count, len(factor) - 1)], 1.0)
+
+    def sums(self, low: np.ndarray) -> np.ndarray:
+        """Per context: the counts after it, what discounts leave of them, and the shorter context's share of the words seen."""
+        first = np.full(len(self.count), -1)
+        first[self.gram[::-1]] = np.arange(len(self.gram) - 1, -1, -1)
+        seen = self.count > 0
+        at = first[seen]
+        size = int(self.context.max(initial=-1)) + 1
+        return np.stack([np.bincount(self.context[at], x, size) for x in (self.count[seen], self.mass[seen], low[at])])
+
+
+def levels(columns: list[np.ndarray], n: np.ndarray, factors: list[np.ndarray], words: Vocabulary) -> Iterator[tuple[Level, np.ndarray]]:
+    """Each order from 2 on and its sums. ``low`` is a numerator: of the unigrams, or of the order below."""
+    low = words.count(columns[-1]) + 1.0
+    for m, factor in enumerate(factors, 2):
+        level = Level(columns, n, m, factor)
+        yield level, level.sums(low)
+        low = level.mass[level.gram]
+
+
+def context_names(order: int) -> list[str]:
+    return [f"c{i}" for i in range(1, order)]
+
+
+def context_rows(columns: list[np.ndarray], order: int, at: np.ndarray) -> list[pa.Array]:
+    """The contexts of an order at these places; -1 for the words that a shorter one does not have."""
+    return [pa.array(c[at] if x < order - 1 else np.full(len(at), -1)) for x, c in enumerate(columns[:-1])]
+
+
+def partial_sums(grams: DataFrame, order: int, factors: list[np.ndarray], shared) -> DataFrame:
+    """Contexts that end with a word of several buckets, and each bucket's part of their sums."""
+    names = context_names(order)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                columns, n = gathered(pa.Table.from_batches([batch.slice(i, 1)]), order)
+                mine = shared.value.shares(columns[0]) > 1
+                columns, n = [c[mine] for c in columns], n[mine]
+                for m, (level, sums) in enumerate(levels(columns, n, factors, shared.value.words) if len(n) else (), 2):
+                    at = np.unique(level.context, return_index=True)[1]
+                    yield pa.RecordBatch.from_arrays([*context_rows(columns, m, at), *map(pa.array, sums)], [*names, *SUMS])
+
+    return grams.select("grams", "n").mapInArrow(run, ", ".join([*[f"{c} long" for c in names], *[f"{s} double" for s in SUMS]]))
+
+
+def asked_contexts(chunks: DataFrame, order: int, shared) -> DataFrame:
+    """``j`` and contexts that end with a known word of several buckets, as the chunks ask for them there."""
+    names = context_names(order)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        deal = shared.value
+        for batch in batches:
+            for t, n in zip(batch["tokens"].to_pylist(), batch["lengths"].to_pylist(), strict=True):
+                tokens = unpacked(t)
+                columns = [*contexts(tokens, unpacked(n), order, deal.words.types + 1), tokens]
+                mine = (deal.shares(columns[0]) > 1) & (columns[0] != deal.words.types)
+                columns = [c[mine] for c in columns]
+                j = deal.bucket(columns[0], columns[-1])
+                for m in range(2, order + 1) if len(j) else ():
+                    at = np.unique(codes(j, *columns[: m - 1]), return_index=True)[1]
+                    yield pa.RecordBatch.from_arrays([pa.array(j[at]), *context_rows(columns, m, at)], ["j", *names])
+
+    return chunks.select("tokens", "lengths").mapInArrow(run, ", ".join(["j long", *[f"{c} long" for c in names]])).distinct()
+
+
+def train(read: Corpus, *, order: int = 3, k: int = 5, bucket_tokens: int = 1_000_000) -> Model:
+    """Counts the n-grams of the rows to learn from; null and empty texts count as the end token alone."""
+    if order < 2:
+        raise ValueError("the order must be 2 or more")
+    deal = Deal(read.words.bare(), max(1, -(-read.tokens // bucket_tokens)), bucket_tokens, read.rows)
+    shared = read.chunks.sparkSession.sparkContext.broadcast(deal)  # the table of counts
+    sent = dealt(read.chunks, order, shared, False)
+    grams = stored(sent.groupBy("j").applyInArrow(counted(order, k), "j long, grams array<binary>, n binary, found array<long>"))
+    found: dict[int, int] = {r["at"]: r["n"] for r in grams.select(F.posexplode("found").alias("at", "n")).groupBy("at").agg(F.sum("n").alias("n")).collect()}
+    factors = []
+    for m in range(order - 1):
+        d = discounts({r: found.get(m * (k + 1) + r - 1, 0) for r in range(1, k + 2)}, k)
+        factors.append(np.array([0.0, *[d[r] for r in range(1, k + 1)], 1.0]))
+    sums = stored(partial_sums(grams, order, factors, shared).groupBy(*context_names(order)).agg(*[F.sum(s).alias(s) for s in SUMS]))
+    return Model(read, order, grams.select("j", "grams", "n"), sums, factors, deal)
+
+
+def packed_sums(order: int):
+    def run(table: pa.Table) -> pa.Table:
+        contexts_ = [packed(table[c].to_numpy() + 1) for c in context_names(order)]
+        return pa.table({"j": pa.array([table["j"][0].as_py()]), "contexts": pa.array([contexts_], pa.list_(pa.binary())), "sums": pa.array([[table[s].to_numpy().tobytes() for s in SUMS]], pa.list_(pa.binary()))})
+
+    return run
+
+
+def evaluator(order: int, factors: list[np.ndarray], deal):
+    """``chunk, row, part``: what a bucket's n-grams add to the log10 probability of the rows that ask."""
+
+    def run(asks: pa.Table, model: pa.Table) -> pa.Table:
+        import pyarrow.compute as pc
+
+        words = deal.value.words
+        known = model.filter(pc.is_valid(model["n"]))
+        columns, n = gathered(known, order)
+        asked, times = gathered(asks, order)
+        shared, sums = [np.zeros(0, np.int64)] * (order - 1), [np.zeros(0)] * len(SUMS)
+        for r in model.filter(pc.is_valid(model["sums"])).to_pylist():
+            shared, sums = [unpacked(c) - 1 for c in r["contexts"]], [np.frombuffer(s) for s in r["sums"]]
+        size = len(times)
+        # Rows that ask, then the model's, then contexts whose sums come from several buckets.
+        every = [np.concatenate([a, c, np.maximum(s, 0)]) for a, c, s in zip(asked, columns, [*shared, np.zeros(len(sums[0]), np.int64)], strict=True)]
+        counts = np.concatenate([np.zeros(size, np.int64), n, np.zeros(len(sums[0]), np.int64)])
+        whole = float(words.tokens + words.types + 1)
+        steps, shorter, base_below = [], None, None
+        for m, (level, found) in enumerate(levels(every, counts, factors, words), 2):
+            mine = (shared[m - 2] >= 0) & (shared[m - 1] < 0 if m < order else shared[0] >= 0)
+            at = level.context[len(counts) - len(mine) :][mine]
+            found[:, at] = np.stack(sums)[:, mine]
+            total, kept, low = found
+            # A context all of whose n-grams exceed k loses nothing by discounts; one more count then leaves room.
+            base = np.where(kept >= total, total + 1, total)
+            first = np.zeros(len(total), np.int64)
+            first[level.context[::-1]] = np.arange(len(counts) - 1, -1, -1)
+            below = whole if shorter is None else base_below[shorter.context[first]]
+            with np.errstate(divide="ignore", invalid="ignore"):
+                weight = np.where(total > 0, np.log10((1 - kept / base) / (1 - low / below)), 0.0)
+                seen = np.log10(level.mass[level.gram[:size]] / base[level.context[:size]])
+            steps.append((level.count[level.gram[:size]] > 0, seen, weight[level.context[:size]]))
+            shorter, base_below = level, base
+        p, open_ = np.zeros(size), np.ones(size, bool)
+        for is_seen, seen, weight in reversed(steps):
+            p += np.where(open_, np.where(is_seen, seen, weight), 0.0)
+            open_ &= ~is_seen
+        p += np.where(open_, np.log10((words.count(asked[-1]) + 1) / whole), 0.0)
+        chunks, rows, parts, at = [], [], [], 0
+        for chunk, data in zip(asks["chunk"].to_pylist(), asks["row"].to_pylist(), strict=True):
+            row = unpacked(data)
+            sums_ = np.bincount(row, (p * times)[at : at + len(row)])
+            at += len(row)
+            own = np.unique(row)
+            chunks.append(np.full(len(own), chunk))
+            rows.append(own)
+            parts.append(sums_[own])
+        cat = lambda x, kind: pa.array(np.concatenate(x) if x else np.zeros(0), kind)
+        return pa.table({"chunk": cat(chunks, pa.int64()), "row": cat(rows, pa.int64()), "part": cat(parts, pa.float64())})
+
+    return run
+
+
+def described(chunks: DataFrame, deal, kind: str) -> DataFrame:
+    """``chunk, row, id, n_tokens, n_known, base_score`` of every row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = deal.value.words
+        whole = float(words.tokens + words.types + 1)
+        for batch in batches:
+            for i in range(batch.num_rows):
+                tokens, lengths = unpacked(batch["tokens"][i].as_py()), unpacked(batch["lengths"][i].as_py())
+                c, row = words.count(tokens), np.repeat(np.arange(len(lengths)), lengths)
+                base, known = np.bincount(row, np.log10((c + 1) / whole)), np.bincount(row, c > 0).astype(np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(lengths), batch["chunk"][i].as_py())), pa.array(np.arange(len(lengths))), batch["ids"][i].values, pa.array(lengths), pa.array(known), pa.array(base)],
+                    ["chunk", "row", "id", "n_tokens", "n_known", "base_score"])
+
+    return chunks.mapInArrow(run, f"chunk long, row long, id {kind}, n_tokens long, n_known long, base_score double")
+
+
+def score(model: Model, docs: DataFrame | None = None, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``id, n_tokens, n_known, base_score, score`` for every row of ``docs``, or of the corpus that the model has read.
 
     A null or empty text is its end token. ``base_score`` is the add-one unigram log10 probability, ``score`` the
-    model's; a history never seen leaves the unigram probability. Rows equal in id and text get equal results.
-    Other columns are ignored; a model of no rows gives every token the unigram probability of an unknown word.
+    model's; after a context never seen, the next shorter one decides. Repeated rows each have a row. Other columns
+    are ignored; a model of no rows gives every token the unigram probability of an unknown word.
     """
-    rows = named(docs, id_col, text_col)
-    pairs = pair_counts(rows)
-    whole = float(model.tokens + model.types + 1)
-    copies = rows.groupBy("id", "tie").agg(F.count("*").alias("copies"))
-    single = F.log10((F.coalesce("c", F.lit(0)) + 1) / F.lit(whole))
-    base = (
-        pairs.groupBy("id", "tie", "w").agg(F.sum("n").alias("n")).join(model.unigrams, "w", "left")
-        .groupBy("id", "tie").agg(F.sum("n").alias("n_tokens"), F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("n_known"), F.sum(F.col("n") * single).alias("base_score"))
-    )
-    found = pairs.join(model.bigrams, ["h", "w"], "left")
-    seen = found.where("p is not null").groupBy("id", "tie").agg(F.sum(F.col("n") * F.col("p")).alias("part"))
-    back = found.where("p is null").join(model.unigrams, "w", "left").join(model.histories, "h", "left")
-    unseen = back.groupBy("id", "tie").agg(F.sum(F.col("n") * (F.coalesce("weight", F.lit(0.0)) + single)).alias("part"))
-    scores = seen.unionByName(unseen).groupBy("id", "tie").agg(F.sum("part").alias("score"))
-    each = lambda a: ((a["id"].eqNullSafe(F.col("b_id"))) & (a["tie"] == F.col("b_tie")))
-    out = copies
-    for table in (base, scores):
-        right = table.withColumnRenamed("id", "b_id").withColumnRenamed("tie", "b_tie")
-        out = out.join(right, each(out)).drop("b_id", "b_tie")
-    per = lambda c: F.col(c) / F.col("copies")
-    return out.select(
-        F.col("id").alias(id_col), per("n_tokens").cast("long").alias("n_tokens"), per("n_known").cast("long").alias("n_known"),
-        per("base_score").alias("base_score"), per("score").alias("score"), F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"),
-    ).drop("copy")
+    read = model.corpus if docs is None else corpus(docs, words=model.corpus.words, id_col=id_col, text_col=text_col)
+    shared = read.chunks.sparkSession.sparkContext.broadcast(model.deal)
+    asks = dealt(read.chunks, model.order, shared, True)
+    sums = asked_contexts(read.chunks, model.order, shared).join(model.sums, context_names(model.order)).groupBy("j").applyInArrow(packed_sums(model.order), "j long, contexts array<binary>, sums array<binary>")
+    known = model.grams.unionByName(sums, allowMissingColumns=True)
+    parts = asks.groupBy("j").cogroup(known.groupBy("j")).applyInArrow(evaluator(model.order, model.factors, shared), "chunk long, row long, part double")
+    found = parts.groupBy("chunk", "row").agg(F.sum("part").alias("score"))
+    kind = dict(read.chunks.dtypes)["ids"].removeprefix("array<").removesuffix(">")
+    return described(read.chunks, shared, kind).join(found, ["chunk", "row"]).select(F.col("id").alias(id_col), "n_tokens", "n_known", "base_score", "score")

@@ -63,8 +63,8 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_katz_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    model = katz.train(docs.where(fold("doc_id", 7) != 2))
-    found = katz.score(docs, model).withColumn("train_tokens", F.lit(model.tokens).cast("long"))
+    model = katz.train(katz.corpus(docs, learn=fold("doc_id", 7) != 2))
+    found = katz.score(model).withColumn("train_tokens", F.lit(model.corpus.words.tokens).cast("long"))
     return found.select("doc_id", (fold("doc_id", 7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -15,6 +16,8 @@ SEPARATORS = bytes(b for b in range(128) if not chr(b).isalnum())
 ALNUM_TABLE = bytes.maketrans(
     SEPARATORS + UPPER.encode(), b" " * len(SEPARATORS) + UPPER.lower().encode()
 )
+#: Spark removes a statement's shuffle files when it ends if this is set.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -31,10 +34,28 @@ def blank_words(text: bytes | None) -> list[bytes]:
     return text.lower().split() if text else []
 
 
+def blank_word_runs(text: bytes | None, most: int = 4 << 20) -> Iterator[list[bytes]]:
+    """The same words in lists, each of about ``most`` bytes of text; a longer word is in one list."""
+    text, at = text or b"", 0
+    while at < len(text):
+        end = at + most
+        if end < len(text):
+            rest = text[end : end + most].split(None, 1)  # up to the end of the word that the cut would divide
+            while text[end : end + 1].strip():
+                end += len(rest[0]) if rest else 1
+                rest = text[end : end + most].split(None, 1)
+        yield text[at:end].lower().split()
+        at = end
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names; only where it is unset (tests, one machine) one of our own."""
-    own = os.path.join(tempfile.gettempdir(), "docsieve-checkpoints")
-    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or own
+    """The folder that ``spark.checkpoint.dir`` names. Where it is unset, one of our own, on a single machine only."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if named:
+        return named
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return os.path.join(tempfile.gettempdir(), "docsieve-checkpoints")
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -46,7 +67,22 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """The same as ``cut`` as a Parquet table in the shared folder: smaller, for tables of many columns or rows."""
-    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Cut the lineage with a Parquet table in the shared folder; what was shuffled for it is removed at once."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete tables of ``stored`` that nothing will read again."""
+    for table in tables:
+        spark = table.sparkSession
+        for folder in {os.path.dirname(f) for f in table.inputFiles()}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -5,69 +5,122 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from docsieve.llm import katz
+from docsieve.llm.text import blank_word_runs, blank_words
 
 rng = random.Random(6)
 WORDS = "a b c d e f g h".split()
-TRAIN = [(i, " ".join(rng.choices(WORDS, [30, 20, 10, 5, 3, 2, 1, 1], k=rng.randint(0, 30)))) for i in range(80)] + [(90, None), (5, "A a\tB"), (5, "A a\tB"), (None, "a q")]
-ASK = [(200, "a b zz a"), (201, None), (202, ""), (203, "unknown words only"), (204, "h h h h g"), *TRAIN]
+TRAIN = [(i, " ".join(rng.choices(WORDS, [30, 20, 10, 5, 3, 2, 1, 1], k=rng.randint(0, 30)))) for i in range(80)] + [(90, None), (5, "A a\tB"), (5, "A a\tB"), (None, "a q"), (91, "a b " * 400)]
+ASK = [(200, "a b zz a"), (201, None), (202, ""), (203, "unknown words only"), (204, "h h h h g"), (205, "zz a b c zz"), *TRAIN]
 
 
 def tokens(text):
     return re.findall(r"[^\x20\x09-\x0D]+", (text or "").lower()) + ["</s>"]
 
 
-def plain(train, k=5):
-    uni, bi = Counter(), Counter()
-    for _, t in train:
-        x = tokens(t)
-        uni.update(x)
-        bi.update(zip(["<s>", *x], x))
-    n, v = sum(uni.values()), len(uni)
-    d = katz.discounts(Counter(bi.values()), k)
-    p1 = lambda w: (uni[w] + 1) / (n + v + 1)
-
-    def p(h, w):
-        after = {x: r for (a, x), r in bi.items() if a == h}
+class Plain:
+    """Recursion over ever shorter contexts, one token at a time."""
+
+    def __init__(self, train, order, k=5):
+        self.order, self.after = order, {}
+        self.uni = Counter(t for _, x in train for t in tokens(x))
+        for _, x in train:
+            x = ["<s>"] * (order - 1) + tokens(x)
+            for i in range(order - 1, len(x)):
+                for m in range(1, order):
+                    self.after.setdefault(tuple(x[i - m : i]), Counter())[x[i]] += 1
+        self.d = {m: katz.discounts(Counter(r for h, c in self.after.items() if len(h) == m for r in c.values()), k) for m in range(1, order)}
+        self.n, self.v = sum(self.uni.values()), len(self.uni)
+
+    def p(self, h, w):
+        if not h:
+            return (self.uni[w] + 1) / (self.n + self.v + 1)
+        after = self.after.get(h)
         if not after:
-            return p1(w)
+            return self.p(h[1:], w)
+        d = self.d[len(h)]
         total, kept = sum(after.values()), sum(d.get(r, 1.0) * r for r in after.values())
         total += kept >= total
         if w in after:
             return d.get(after[w], 1.0) * after[w] / total
-        return (1 - kept / total) / (1 - sum(map(p1, after))) * p1(w)
+        return (1 - kept / total) / (1 - sum(self.p(h[1:], x) for x in after)) * self.p(h[1:], w)
 
-    return uni, p1, p
+    def score(self, text):
+        x = ["<s>"] * (self.order - 1) + tokens(text)
+        return sum(math.log10(self.p(tuple(x[i - self.order + 1 : i]), x[i])) for i in range(self.order - 1, len(x)))
 
 
-@pytest.fixture(scope="module")
-def model(spark):
-    return katz.train(spark.createDataFrame(TRAIN, "doc_id long, text string"))
+@pytest.fixture(scope="module", params=[(2, 1 << 20), (3, 1 << 20), (3, 60), (4, 60)])
+def case(request, spark):
+    order, bucket = request.param  # buckets of 60 tokens: most words are spread over several
+    read = katz.corpus(spark.createDataFrame(TRAIN, "doc_id long, text string"), chunk_bytes=300)
+    return Plain(TRAIN, order), katz.train(read, order=order, bucket_tokens=bucket)
 
 
-def test_scores(spark, model):
-    uni, p1, p = plain(TRAIN)
+def test_scores(spark, case):
+    plain, model = case
     want = []
     for i, t in ASK:
         x = tokens(t)
-        want.append((i, len(x), sum(w in uni for w in x), round(sum(math.log10(p1(w)) for w in x), 9), round(sum(math.log10(p(h, w)) for h, w in zip(["<s>", *x], x)), 9)))
-    docs = spark.createDataFrame([(i, t, 1, "x") for i, t in ASK], "doc_id long, text string, n int, h string")
-    got = [(r["doc_id"], r["n_tokens"], r["n_known"], round(r["base_score"], 9), round(r["score"], 9)) for r in katz.score(docs, model).collect()]
+        want.append((i, len(x), sum(w in plain.uni for w in x), round(sum(math.log10(plain.p((), w)) for w in x), 8), round(plain.score(t), 8)))
+    docs = spark.createDataFrame([(i, t, 1, "x") for i, t in ASK], "doc_id long, text string, n int, chunk string")
+    got = [(r["doc_id"], r["n_tokens"], r["n_known"], round(r["base_score"], 8), round(r["score"], 8)) for r in katz.score(model, docs).collect()]
     assert sorted(got, key=str) == sorted(want, key=str)
-    assert (model.tokens, model.types) == (sum(uni.values()), len(uni))
+    assert (model.corpus.words.tokens, model.corpus.words.types) == (plain.n, plain.v)
+
+
+def test_scores_of_the_rows_read(case):
+    plain, model = case
+    got = sorted((str(r["doc_id"]), round(r["score"], 8)) for r in katz.score(model).collect())
+    assert got == sorted((str(i), round(plain.score(t), 8)) for i, t in TRAIN)
+
+
+class Shared:
+    def __init__(self, value):
+        self.value = value
+
 
+@pytest.mark.parametrize("order", [2, 3])
+def test_the_tables_sum_to_one(spark, order):
+    """After any context, seen or not, the probabilities of all words and an unknown one add up to one."""
+    model = katz.train(katz.corpus(spark.createDataFrame(TRAIN, "doc_id long, text string")), order=order)
+    types = model.corpus.words.types
+    asked = [(*c, w) for c in np.ndindex(*[types + 2] * (order - 1)) for w in range(types + 1)]
+    columns = list(np.array(asked, np.int64).T)
+    grams = [katz.packed(np.diff(columns[0], prepend=0)), *map(katz.packed, columns[1:])]
+    asks = pa.table({"chunk": [0], "grams": pa.array([grams], pa.list_(pa.binary())), "n": [katz.packed(np.ones(len(asked)))], "row": [katz.packed(np.arange(len(asked)))]})
+    known = model.grams.withColumns({"contexts": F.lit(None).cast("array<binary>"), "sums": F.lit(None).cast("array<binary>")}).toArrow()
+    parts = katz.evaluator(order, model.factors, Shared(model.deal))(asks, known)["part"].to_numpy()
+    assert np.allclose((10**parts).reshape(-1, types + 1).sum(1), 1.0, rtol=1e-9)
 
-def test_probabilities_sum_to_one():
-    uni, p1, p = plain(TRAIN)
-    for h in ["<s>", *WORDS, "never"]:
-        assert math.isclose(sum(p(h, w) for w in uni) + p(h, "unknown"), 1.0, rel_tol=1e-9)
+
+def test_learning_from_some_rows(spark):
+    docs = spark.createDataFrame(TRAIN, "doc_id long, text string")
+    model = katz.train(katz.corpus(docs, learn=F.col("doc_id") % 2 == 0))
+    plain = Plain([r for r in TRAIN if r[0] is not None and r[0] % 2 == 0], 3)
+    got = sorted((str(r["doc_id"]), round(r["score"], 8)) for r in katz.score(model).collect())
+    assert got == sorted((str(i), round(plain.score(t), 8)) for i, t in TRAIN)
 
 
 def test_empty_model(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
-    model = katz.train(none)
-    got = katz.score(spark.createDataFrame([(1, "a b")], "doc_id long, text string"), model).first()
+    model = katz.train(katz.corpus(none))
+    got = katz.score(model, spark.createDataFrame([(1, "a b")], "doc_id long, text string")).first()
     assert got["score"] == 0.0 == got["base_score"] and got["n_known"] == 0
-    assert katz.score(none, model).count() == 0
+    assert katz.score(model).count() == 0
+
+
+def test_packing():
+    for x in ([], [0], [1, 255, 256, 2**40], range(1000)):
+        assert katz.unpacked(katz.packed(np.array(list(x), np.int64))).tolist() == list(x)
+
+
+@pytest.mark.parametrize("most", [1, 2, 3, 7, 100])
+def test_word_runs(most):
+    for text in (None, b"", b"   ", b"abc", b"A bc  def\n\x0bghi \xc3\xa9t\xc3\xa9 " * 5, b"x" * 50, b" " * 30 + b"y" * 9 + b" z"):
+        assert [w for words in blank_word_runs(text, most) for w in words] == blank_words(text)
