@@ -421,7 +421,7 @@ def packed_sums(order: int):
 
 
 def evaluator(order: int, factors: list[np.ndarray], deal):
-    """``chunk, row, part``: what a bucket's n-grams add to the log10 probability of the rows that ask."""
+    """``chunk, row, part``: what a bucket's n-grams add to the log10 probability of a chunk's rows (packed)."""
 
     def run(asks: pa.Table, model: pa.Table) -> pa.Table:
         import pyarrow.compute as pc
@@ -459,21 +459,26 @@ def evaluator(order: int, factors: list[np.ndarray], deal):
             p += np.where(open_, np.where(is_seen, seen, weight), 0.0)
             open_ &= ~is_seen
         p += np.where(open_, np.log10((words.count(asked[-1]) + 1) / whole), 0.0)
-        chunks, rows, parts, at = [], [], [], 0
-        for chunk, data in zip(asks["chunk"].to_pylist(), asks["row"].to_pylist(), strict=True):
+        rows, parts, at = [], [], 0
+        for data in asks["row"].to_pylist():
             row = unpacked(data)
             sums_ = np.bincount(row, (p * times)[at : at + len(row)])
             at += len(row)
             own = np.unique(row)
-            chunks.append(np.full(len(own), chunk))
-            rows.append(own)
-            parts.append(sums_[own])
-        cat = lambda x, kind: pa.array(np.concatenate(x) if x else np.zeros(0), kind)
-        return pa.table({"chunk": cat(chunks, pa.int64()), "row": cat(rows, pa.int64()), "part": cat(parts, pa.float64())})
+            rows.append(packed(np.diff(own, prepend=0)))
+            parts.append(sums_[own].tobytes())
+        return pa.table({"chunk": asks["chunk"], "row": pa.array(rows, pa.binary()), "part": pa.array(parts, pa.binary())})
 
     return run
 
 
+def added(table: pa.Table) -> pa.Table:
+    """A chunk's parts added up by row."""
+    rows = [np.cumsum(unpacked(r)) for r in table["row"].to_pylist()]
+    sums = np.bincount(np.concatenate(rows), np.concatenate([np.frombuffer(x) for x in table["part"].to_pylist()]))
+    return pa.table({"chunk": pa.array(np.full(len(sums), table["chunk"][0].as_py())), "row": pa.array(np.arange(len(sums))), "score": pa.array(sums)})
+
+
 def described(chunks: DataFrame, deal, kind: str) -> DataFrame:
     """``chunk, row, id, n_tokens, n_known, base_score`` of every row."""
 
@@ -504,7 +509,7 @@ def score(model: Model, docs: DataFrame | None = None, *, id_col: str = "doc_id"
     asks = dealt(read.chunks, model.order, shared, True)
     sums = asked_contexts(read.chunks, model.order, shared).join(model.sums, context_names(model.order)).groupBy("j").applyInArrow(packed_sums(model.order), "j long, contexts array<binary>, sums array<binary>")
     known = model.grams.unionByName(sums, allowMissingColumns=True)
-    parts = asks.groupBy("j").cogroup(known.groupBy("j")).applyInArrow(evaluator(model.order, model.factors, shared), "chunk long, row long, part double")
-    found = parts.groupBy("chunk", "row").agg(F.sum("part").alias("score"))
+    parts = asks.groupBy("j").cogroup(known.groupBy("j")).applyInArrow(evaluator(model.order, model.factors, shared), "chunk long, row binary, part binary")
+    found = parts.groupBy("chunk").applyInArrow(added, "chunk long, row long, score double")
     kind = dict(read.chunks.dtypes)["ids"].removeprefix("array<").removesuffix(">")
     return described(read.chunks, shared, kind).join(found, ["chunk", "row"]).select(F.col("id").alias(id_col), "n_tokens", "n_known", "base_score", "score")

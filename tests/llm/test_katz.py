@@ -95,7 +95,7 @@ def test_the_tables_sum_to_one(spark, order):
     grams = [katz.packed(np.diff(columns[0], prepend=0)), *map(katz.packed, columns[1:])]
     asks = pa.table({"chunk": [0], "grams": pa.array([grams], pa.list_(pa.binary())), "n": [katz.packed(np.ones(len(asked)))], "row": [katz.packed(np.arange(len(asked)))]})
     known = model.grams.withColumns({"contexts": F.lit(None).cast("array<binary>"), "sums": F.lit(None).cast("array<binary>")}).toArrow()
-    parts = katz.evaluator(order, model.factors, Shared(model.deal))(asks, known)["part"].to_numpy()
+    parts = katz.added(katz.evaluator(order, model.factors, Shared(model.deal))(asks, known))["score"].to_numpy()
     assert np.allclose((10**parts).reshape(-1, types + 1).sum(1), 1.0, rtol=1e-9)
 
 
