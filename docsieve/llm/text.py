@@ -7,7 +7,8 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Bytes that separate alphanumeric words: ASCII that is neither digit nor letter.
@@ -79,6 +80,21 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def broadcast_bytes(df: DataFrame) -> Column:
+    """About what a row takes in memory: texts and arrays by their size, anything else as 16 bytes."""
+    size = F.lit(16)
+    for name, kind in df.dtypes:
+        known = F.octet_length if kind in ("string", "binary") else (lambda c: 16 * F.size(c)) if kind.startswith("array") else None
+        size = size + (F.coalesce(known(F.col(f"`{name}`")), F.lit(0)) if known else 16)
+    return size
+
+
+def small(df: DataFrame, most: int = 32 << 20) -> DataFrame:
+    """The table with a broadcast hint if all its rows take at most so many bytes, else as it is."""
+    total = df.agg(F.sum(broadcast_bytes(df))).first()[0] or 0
+    return F.broadcast(df) if total <= most else df
+
+
 def forget(*tables: DataFrame) -> None:
     """Delete tables of ``stored`` that nothing will read again."""
     for table in tables:

@@ -58,7 +58,7 @@ def test_line_dedup_against_all_pairs(spark):
 def test_line_dedup_without_broadcast_and_without_rows(spark, monkeypatch):
     docs = spark.createDataFrame(TEXTS, "doc_id long, text string")
     want = sorted(map(str, line_dedup.removed_lines(docs).collect()))
-    monkeypatch.setattr(line_dedup, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(line_dedup, "small", lambda df: df)
     assert sorted(map(str, line_dedup.removed_lines(docs, buckets=1024).collect())) == want
     assert line_dedup.dedup_lines(docs.limit(0)).count() == 0
 
