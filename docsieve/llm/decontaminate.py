@@ -6,8 +6,8 @@ sampled suffix positions), searches all windows backwards at once and locates th
 occurrences merge into removal spans.
 
 Scale: documents are never shuffled; a shard's index is bounded by ``shard_words``. The benchmark goes out in
-blocks of at most ``block_bytes`` of text, each with a pass of its own; results of several blocks are merged by
-document.
+blocks of at most ``block_bytes`` of text, each with a pass of its own, one block at a time; results of several blocks
+are merged by document.
 """
 
 from __future__ import annotations
@@ -19,12 +19,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from docsieve.llm.text import ALNUM_TABLE, alnum_words
+from docsieve.llm.text import ALNUM_TABLE, alnum_words, stored
 
 WINDOW = 10
 WORD = re.compile(rb"[^ ]+")
-RESULT = "n_words long, n_hit long, items array<long>, spans array<struct<first_word:long,last_word:long,byte_start:long,byte_end:long>>"
+RESULT = "n_words long, n_hit long, items array<{item}>, spans array<struct<first_word:long,last_word:long,byte_start:long,byte_end:long>>"
 SPAN = pa.struct([(n, pa.int64()) for n in ("first_word", "last_word", "byte_start", "byte_end")])
 
 
@@ -202,28 +203,38 @@ def without(text: bytes, cuts: list[dict]) -> bytes:
     return b"".join([*parts, text[at:]])
 
 
-def benchmark_blocks(benchmark: DataFrame, item_col: str, text_col: str, window: int, block_bytes: int) -> Iterator[Windows]:
-    """Blocks of the benchmark whose text is at most about ``block_bytes``, each read by the driver in turn."""
-    rows = benchmark.where(F.col(text_col).isNotNull() & F.col(item_col).isNotNull()).select(F.col(item_col).cast("long").alias("item"), F.col(text_col).cast("binary").alias("text"))
-    total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    parts = max(1, -(-total // block_bytes))
+def usable(benchmark: DataFrame, item_col: str, text_col: str) -> DataFrame:
+    return benchmark.where(F.col(text_col).isNotNull() & F.col(item_col).isNotNull()).select(F.col(item_col).alias("item"), F.col(text_col).cast("binary").alias("text"))
+
+
+def block_count(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int) -> int:
+    total = usable(benchmark, item_col, text_col).agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    return max(1, -(-total // block_bytes))
+
+
+def benchmark_blocks(benchmark: DataFrame, item_col: str, text_col: str, window: int, parts: int) -> Iterator[Windows]:
+    """The benchmark in blocks of about equal text, each read by the driver in turn."""
+    rows = usable(benchmark, item_col, text_col)
     for part in range(parts):
         mine = rows if parts == 1 else rows.where(F.pmod(F.xxhash64("item", "text"), F.lit(parts)) == part)
         yield Windows([(r["item"], bytes(r["text"])) for r in mine.toLocalIterator()], window)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
-                  item_text_col: str = "text", window: int = WINDOW, block_bytes: int = 16 << 20, shard_words: int = 500_000) -> DataFrame:
+                  item_text_col: str = "text", window: int = WINDOW, block_bytes: int = 4 << 20, shard_words: int = 500_000) -> DataFrame:
     """Per row of ``docs``: ``id, n_words, n_hit, items, spans`` (merged runs of words inside some window's occurrence).
 
     A window is ``window`` consecutive words of an item; an item with fewer words, but some, is one window. Null
     and empty texts have no words and no hits; null or wordless items have no windows; an empty benchmark hits
-    nothing. Items with equal text are all reported. Repeated rows each have a result; other columns are ignored.
+    nothing. Items with equal text are all reported; their ids may be of any type that has an order. Repeated rows
+    each have a result; other columns are ignored.
     """
     spark, kind = docs.sparkSession, dict(docs.dtypes)[id_col]
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
-    names = [x.split(" ")[0] for x in RESULT.split(", ")]
-    kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(SPAN)]
+    item = benchmark.schema[item_col].dataType
+    result = RESULT.format(item=item.simpleString())
+    names = [x.split(" ")[0] for x in result.split(", ")]
+    kinds = [pa.int64(), pa.int64(), pa.list_(to_arrow_type(item)), pa.list_(SPAN)]
 
     def finder(shared, with_key: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,14 +245,17 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
 
         return run
 
-    blocks = [spark.sparkContext.broadcast(b) for b in benchmark_blocks(benchmark, item_col, item_text_col, window, block_bytes)]
-    if len(blocks) == 1:
-        return rows.mapInArrow(finder(blocks[0], False), f"id {kind}, {RESULT}")
+    parts = block_count(benchmark, item_col, item_text_col, block_bytes)
+    blocks = benchmark_blocks(benchmark, item_col, item_text_col, window, parts)
+    if parts == 1:
+        return rows.mapInArrow(finder(spark.sparkContext.broadcast(next(blocks)), False), f"id {kind}, {result}")
     keyed = rows.withColumn("key", F.sha2(F.coalesce("text", F.lit(b"")), 256))
-    each = [keyed.mapInArrow(finder(b, True), f"id {kind}, key string, {RESULT}").withColumn("block", F.lit(i)) for i, b in enumerate(blocks)]
-    both = each[0]
-    for more in each[1:]:
-        both = both.unionByName(more)
+    both = None
+    for i, block in enumerate(blocks):
+        shared = spark.sparkContext.broadcast(block)
+        each = stored(keyed.mapInArrow(finder(shared, True), f"id {kind}, key string, {result}").withColumn("block", F.lit(i)))
+        shared.destroy()
+        both = each if both is None else both.unionByName(each)
     merged = both.groupBy("id", "key").agg(
         F.max("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"), F.count_if(F.col("block") == 0).alias("copies"))
@@ -262,7 +276,7 @@ def merge_span(done, s):
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
-                 window: int = WINDOW, block_bytes: int = 16 << 20, shard_words: int = 500_000) -> DataFrame:
+                 window: int = WINDOW, block_bytes: int = 4 << 20, shard_words: int = 500_000) -> DataFrame:
     """``docs`` with the removal spans cut out of the text; every row and all other columns stay.
 
     The hit words of each block of the benchmark are carried along in a last column of their own until all
@@ -271,7 +285,8 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text
     spark = docs.sparkSession
     place, schema = docs.columns.index(text_col), docs.schema
     rows = docs.withColumn("hit words", F.expr("cast(array() as array<long>)"))
-    for block in benchmark_blocks(benchmark, item_col, item_text_col, window, block_bytes):
+    parts = block_count(benchmark, item_col, item_text_col, block_bytes)
+    for i, block in enumerate(benchmark_blocks(benchmark, item_col, item_text_col, window, parts)):
         shared = spark.sparkContext.broadcast(block)
 
         def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -282,6 +297,9 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(hits, pa.list_(pa.int64()))], names=batch.schema.names)
 
         rows = rows.mapInArrow(search, rows.schema)
+        if i < parts - 1:
+            rows = stored(rows)
+            shared.destroy()
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

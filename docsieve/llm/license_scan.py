@@ -2,8 +2,9 @@
 
 All templates and base phrases go into one automaton. Streaming a file through it gives matching
 statistics: at each word, the longest stretch ending there that occurs in some template. Matches of
-``min_match`` words or more are chained in order along each template; the share of a template's words that
-its best chain covers decides about the labels that the method adds.
+``min_match`` words or more, or of a whole shorter template, are chained in order along each template at all places
+where the template has them; the share of a template's words that its best chain covers decides about the labels
+that the method adds.
 
 Scale: map-only; the automaton is a fixed table of a few thousand states.
 """
@@ -32,6 +33,25 @@ TEMPLATES = (
     ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies"),
     ("unlicense", "This is free and unencumbered software released into the public domain"),
     ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
+    ("cc-by-sa", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"),
+    ("cc-by-nc", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"),
+    ("cc-by-nc-sa", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License"),
+    ("cc-by-nd", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License"),
+    ("cc-by", "Licensed under CC BY 4.0"),
+    ("cc-by-sa", "Licensed under CC BY-SA 4.0"),
+    ("cc-by-nc", "Licensed under CC BY-NC 4.0"),
+    ("cc-by-nc-sa", "Licensed under CC BY-NC-SA 4.0"),
+    ("cc-by-nd", "Licensed under CC BY-ND 4.0"),
+    ("cc0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work"),
+    ("mit", "Released under the MIT License"),
+    ("mit", "SPDX-License-Identifier: MIT"),
+    ("apache", "Licensed under the Apache License, Version 2.0"),
+    ("apache", "SPDX-License-Identifier: Apache-2.0"),
+    ("gpl", "This work is licensed under the GNU General Public License, version 3"),
+    ("agpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation"),
+    ("epl", "This program and the accompanying materials are made available under the terms of the Eclipse Public License"),
+    ("bsl", "Distributed under the Boost Software License, Version 1.0"),
+    ("zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software"),
 )
 SCHEMA = (
     "n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, "
@@ -44,7 +64,7 @@ class SuffixAutomaton:
 
     def __init__(self) -> None:
         self.length, self.link, self.next = [0], [-1], [{}]
-        self.ends: list[dict[int, int]] = [{}]  # sequence -> an end of the state's longest string in it
+        self.ends: list[dict[int, set[int]]] = [{}]  # sequence -> all ends of the state's strings in it
 
     def _state(self, length: int, arrows: dict[int, int]) -> int:
         self.length.append(length)
@@ -60,7 +80,7 @@ class SuffixAutomaton:
             return q
         copy = self._state(self.length[p] + 1, dict(self.next[q]))
         self.link[copy], self.link[q] = self.link[q], copy
-        self.ends[copy] = dict(self.ends[q])
+        self.ends[copy] = {k: set(v) for k, v in self.ends[q].items()}
         while p >= 0 and self.next[p].get(word) == q:
             self.next[p][word] = copy
             p = self.link[p]
@@ -79,8 +99,8 @@ class SuffixAutomaton:
                 self.link[new] = self._split(p, word) if p >= 0 else 0
                 last = new
             v = last
-            while v > 0 and sequence not in self.ends[v]:
-                self.ends[v][sequence] = at
+            while v > 0:
+                self.ends[v].setdefault(sequence, set()).add(at)
                 v = self.link[v]
 
     def step(self, state: int, matched: int, word: int) -> tuple[int, int]:
@@ -113,7 +133,8 @@ class Scanner:
             while u > 0:
                 self.phrase_at[v] += homes.get(u, [])
                 u = self.automaton.link[u]
-        self.shortest = min([self.min_match, *(len(w) for _, w in self.phrases)])
+        self.least = [min(min_match, len(w)) for _, w in self.templates]
+        self.shortest = min([min_match, *self.least, *(len(w) for _, w in self.phrases)])
 
     def scan(self, text: bytes | None) -> tuple:
         words = alnum_words(text)
@@ -128,12 +149,12 @@ class Scanner:
             for at in range(start, end):
                 before = state, matched
                 state, matched = a.step(state, matched, int(ids[at]))
-                if before[1] >= self.min_match and matched <= before[1]:
+                if before[1] >= self.shortest and matched <= before[1]:
                     long.append((at - 1, *before))
                 for i in self.phrase_at[state]:
                     if matched >= len(self.phrases[i][1]):
                         base.append((at - len(self.phrases[i][1]) + 1, self.phrases[i][0]))
-            if matched >= self.min_match:
+            if matched >= self.shortest:
                 long.append((end - 1, state, matched))
         covered = self.chains(long)
         strong = [c for c in covered if c[3] >= self.min_cover]
@@ -145,31 +166,50 @@ class Scanner:
                 [dict(zip(("label", "first_word", "last_word", "coverage"), c, strict=True)) for c in covered])
 
     def chains(self, long: list[tuple[int, int, int]]) -> list[tuple[str, int, int, float]]:
-        """The best chain of each template: its words in the text and the share of the template it covers."""
-        if not long:
-            return []
+        """The best chain of each template: its words in the text and the share of the template that it covers.
+
+        A chain's matches move on in the text and in the template, with at most ``max_gap`` words of the text between
+        two of them; of matches that overlap only what is new counts. A match's shorter endings are matches as well.
+        """
         by: dict[int, list[tuple[int, int, int]]] = {}
         for at, state, matched in long:
-            for sequence, end in self.automaton.ends[state].items():
-                if sequence < len(self.templates):
-                    by.setdefault(sequence, []).append((at, end, matched))
+            while state > 0 and matched >= self.shortest:
+                for sequence, ends in self.automaton.ends[state].items():
+                    if sequence < len(self.templates) and matched >= self.least[sequence]:
+                        by.setdefault(sequence, []).extend((at, end, matched) for end in ends)
+                state = self.automaton.link[state]
+                matched = self.automaton.length[state]
         out = []
         for sequence, spans in sorted(by.items()):
             label, words = self.templates[sequence]
-            chain = best = (0, 0, 0, -1)  # covered, first, last word in the text, end in the template
-            for at, end, matched in spans:
-                start = end - matched + 1
-                near = at - matched - chain[2] <= self.max_gap
-                fresh = min(matched, end - chain[3])
-                if chain[0] and near and end > chain[3]:
-                    chain = (chain[0] + fresh, chain[1], at, end)
-                elif not (chain[0] and near and start <= chain[3] and end <= chain[3] and chain[0] >= matched):
-                    chain = (matched, at - matched + 1, at, end)
-                best = max(best, chain, key=lambda c: c[0])
-            out.append((label, best[1], best[2], best[0] / len(words)))
+            covered, first, last = best_chain(spans, self.max_gap)
+            out.append((label, first, last, covered / len(words)))
         return out
 
 
+def best_chain(spans: list[tuple[int, int, int]], max_gap: int) -> tuple[int, int, int]:
+    """Words covered, first and last word in the text of the best chain of ``(end in the text, end in the template, words)``.
+
+    Of equal chains the one that ends first counts, then the one that starts last.
+    """
+    longest: dict[tuple[int, int], int] = {}
+    for at, end, n in spans:
+        longest[at, end] = max(n, longest.get((at, end), 0))
+    done: list[tuple[int, int, int, int]] = []  # end in the text, in the template, covered, first word
+    best = (0, 0, 0)
+    for (at, end), n in sorted(longest.items()):
+        covered, first = n, at - n + 1
+        for at2, end2, covered2, first2 in reversed(done):
+            if at2 < at - n - max_gap:
+                break
+            if at2 < at and end2 < end:
+                covered, first = max((covered, first), (covered2 + min(n, at - at2, end - end2), first2))
+        done.append((at, end, covered, first))
+        if covered > best[0]:
+            best = (covered, first, at)
+    return best
+
+
 class _Zeros:
     def __iter__(self):
         return self

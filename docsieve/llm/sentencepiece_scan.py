@@ -2,7 +2,8 @@
 
 The public model is of the BPE kind. A sequence of pieces is the BPE encoding of its text exactly if every two
 neighbours, put together, encode to themselves; and there is one such sequence. So the encoding is the best
-path through the lattice of pieces when a step weighs 0 for neighbours that fit and minus infinity otherwise.
+path through the lattice of pieces when a step weighs 0 for neighbours that fit and minus infinity otherwise; with
+these two weights the max-plus product of matrices is a Boolean one.
 
 A giant document is cut into chunks at fixed places. The state at a cut is the piece that holds the character
 before it. Each chunk yields a transfer matrix between the states at its two cuts (its cells of weight 0); the
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docsieve.llm.text import cut
+from docsieve.llm.text import Memory, forget, stored
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
@@ -47,7 +48,7 @@ def end_of(code: int, at: int) -> int:
 class Pieces:
     """The model in a task. Texts are normalised: a blank mark in front and for every blank."""
 
-    def __init__(self, model: bytes, most_words: int = 300_000):
+    def __init__(self, model: bytes):
         import sentencepiece
         from sentencepiece import sentencepiece_model_pb2
 
@@ -67,19 +68,16 @@ class Pieces:
             bytes([int(p.piece[3:5], 16)]) if p.type == 6 else b"" if p.type == 3 else " ⁇ ".encode() if p.type == 2 else p.piece.replace(BLANK, " ").encode()
             for p in proto.pieces
         ]
-        self.words: dict[str, list[int]] = {}
-        self.segments: dict[str, list[int]] = {}
-        self.most_words = most_words
-        self.pairs: dict[tuple[str, str], bool] = {}
+        self.words, self.segments, self.pairs = Memory(12 << 20), Memory(6 << 20), Memory(6 << 20)
 
     def raw(self, text: str) -> list[int]:
         return self.processor.encode(text)
 
-    def _known(self, cache: dict[str, list[int]], parts: list[str], lead: str) -> dict[str, list[int]]:
-        if len(cache) > self.most_words:
-            cache.clear()
+    def _known(self, cache: Memory, parts: list[str], lead: str) -> Memory:
+        cache.make_room()
         new = [w for w in set(parts) if w not in cache]
-        cache.update(zip(new, self.processor.encode([lead + w for w in new], num_threads=1), strict=True))
+        for word, ids in zip(new, self.processor.encode([lead + w for w in new], num_threads=1), strict=True):
+            cache.keep(word, ids)
         return cache
 
     def encode(self, s: str) -> np.ndarray:
@@ -98,9 +96,9 @@ class Pieces:
     def fits(self, a: str, b: str) -> bool:
         got = self.pairs.get((a, b))
         if got is None:
-            if len(self.pairs) > self.most_words:
-                self.pairs.clear()
-            got = self.pairs[a, b] = self.raw(a + b) == self.raw(a) + self.raw(b)
+            self.pairs.make_room()
+            got = self.raw(a + b) == self.raw(a) + self.raw(b)
+            self.pairs.keep((a, b), got)
         return got
 
     def ends(self, s: str, at: int) -> list[int]:
@@ -203,13 +201,13 @@ def scan(matrices: DataFrame) -> DataFrame:
     top = matrices.agg(F.max("node")).first()[0] or 0
     while top > 0:
         group = ["key", F.expr(f"node div {FAN_IN}").alias("up")]
-        levels.append(cut(levels[-1].groupBy(*group).applyInPandas(composed, "key string, node long, cells array<int>")))
+        levels.append(stored(levels[-1].groupBy(*group).applyInPandas(composed, "key string, node long, cells array<int>")))
         top //= FAN_IN
     path = levels[-1].select("key", "node", F.col("cells")[0].alias("entry"), F.col("cells")[1].alias("exit"))
     for level in levels[-2::-1]:
         parent = path.select("key", F.col("node").alias("up"), "entry", "exit")
         both = level.withColumn("up", F.expr(f"node div {FAN_IN}")).join(parent, ["key", "up"])
-        path = cut(both.groupBy("key", "up").applyInPandas(handed_down, "key string, node long, entry int, exit int"))
+        path = stored(both.groupBy("key", "up").applyInPandas(handed_down, "key string, node long, entry int, exit int"))
     return path
 
 
@@ -236,8 +234,8 @@ def encode(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", m
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = Pieces(shared.value)
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
+            for at in range(0, batch.num_rows, 200):
+                part = batch.slice(at, 200)
                 texts = part["text"].to_pylist()
                 ids = [pieces.encode(BLANK + t.replace(" ", BLANK)) if t else np.zeros(0, np.int32) for t in texts]
                 same = [pieces.decode(i)[1:] == t.encode() for i, t in zip(ids, texts, strict=True)]
@@ -259,7 +257,7 @@ def encode(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", m
 
     large = rows.where(giant).select("id", F.sha2("text", 256).alias("key"), "text")
     owners = large.select("id", "key")
-    chunks = cut(large.select("key", "text").mapInArrow(sliced, "key string, node long, s string, begin long, end long").dropDuplicates(["key", "node"]))
+    chunks = stored(large.select("key", "text").mapInArrow(sliced, "key string, node long, s string, begin long, end long").dropDuplicates(["key", "node"]))
 
     def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = Pieces(shared.value)
@@ -267,7 +265,7 @@ def encode(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", m
             cells = [pack(pieces.transfer(r["s"], r["begin"], r["end"], r["node"] == 0)) for r in batch.to_pylist()]
             yield pa.RecordBatch.from_arrays([batch["key"], batch["node"], pa.array(cells, pa.list_(pa.int32()))], ["key", "node", "cells"])
 
-    path = scan(cut(chunks.mapInArrow(matrices, "key string, node long, cells array<int>")))
+    path = scan(stored(chunks.mapInArrow(matrices, "key string, node long, cells array<int>")))
 
     def traced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = Pieces(shared.value)

@@ -49,6 +49,24 @@ def blank_word_runs(text: bytes | None, most: int = 4 << 20) -> Iterator[list[by
         at = end
 
 
+class Memory(dict):
+    """What was found out about words, in about ``most`` bytes; it starts anew when they are full."""
+
+    def __init__(self, most: int = 24 << 20):
+        super().__init__()
+        self.most, self.size = most, 0
+
+    def keep(self, word, value) -> None:
+        """Add a word; ``make_room`` is called before, when none is in use any more."""
+        self[word] = value
+        self.size += len(word) + 36 * (len(value) if hasattr(value, "__len__") else 1) + 250
+
+    def make_room(self) -> None:
+        if self.size > self.most:
+            self.clear()
+            self.size = 0
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that ``spark.checkpoint.dir`` names. Where it is unset, one of our own, on a single machine only."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()

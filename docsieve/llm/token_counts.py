@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 
 #: Fixed value: the pre-tokenisation pattern that belongs to the public 50k byte-level vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: The same with runs that never give anything back; only blanks give back their last one.
+POSSESSIVE = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s+(?!\S)|\s+"
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 RULES = ("start", "majority", "proportional")
 SCHEMA = "section int, byte_start long, byte_end long, char_start long, char_end long, n_tokens double, n_crossing long"
@@ -74,7 +76,8 @@ def token_counts(
     and the text are ignored, whatever they are called.
     ``vocabulary`` names a rank file on the driver; it is read once and broadcast (a fixed file, < 1 MB).
     ``piece_bytes`` only bounds how much text the encoder takes at a time: longer texts are cut where a
-    line feed follows a letter and a letter follows it, where the pattern always ends a token.
+    line feed follows a letter and a letter follows it, where the pattern always ends a token. Texts with long runs
+    without such a place or of blanks are cut by the pattern itself, run by run.
     """
     if rule not in RULES:
         raise ValueError(f"rule must be one of {RULES}")
@@ -99,10 +102,30 @@ def pieces(text: str, most: int) -> Iterator[str]:
     yield text[at:]
 
 
+def long_runs(text: str, most: int = 2000) -> bool:
+    """Whether a run of blanks or of other signs may be longer than the encoder's own pattern search can take."""
+    if len(text) <= most:
+        return False
+    words = text.split()
+    signs = sum(map(len, words))
+    return max(map(len, words), default=0) > most or len(text) - signs - len(words) > most
+
+
+def tokens(encoder, pattern, text: str, most: int) -> Iterator[int]:
+    for part in pieces(text, most):
+        if long_runs(part):
+            for found in pattern.finditer(part):
+                yield from encoder._encode_single_piece(found[0].encode())
+        else:
+            yield from encoder.encode_ordinary(part)
+
+
 def counter(ranks, rule: str, most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import regex
         import tiktoken
 
+        pattern = regex.compile(POSSESSIVE)
         encoder = tiktoken.Encoding("public", pat_str=PATTERN, mergeable_ranks=ranks.value, special_tokens={})
         width = np.zeros(max(ranks.value.values()) + 1, np.int64)
         for token, i in ranks.value.items():
@@ -112,7 +135,7 @@ def counter(ranks, rule: str, most: int):
             for i, text in enumerate(batch["text"].to_pylist()):
                 text = text or b""
                 bounds = line_sections(text)
-                ids = [t for p in pieces(text.decode("utf-8", "replace"), most) for t in encoder.encode_ordinary(p)]
+                ids = list(tokens(encoder, pattern, text.decode("utf-8", "replace"), most))
                 weights, touched = attribute(np.cumsum(width[ids]) if ids else np.zeros(0, np.int64), bounds, rule)
                 lead = np.concatenate([[0], np.cumsum((np.frombuffer(text, np.uint8) & 0xC0) != 0x80)])
                 n = len(bounds) - 1

@@ -1,9 +1,9 @@
 """Toxicity by a factorization machine over hashed terms.
 
-Terms are a text's words and the beginnings of its words. They are hashed; the terms that go with the label
-are chosen by a significance test; a factorization machine over them learns a weight for each term and a
-weight for each pair (by inner products of factors), so that terms which are harmless alone can count
-together.
+Terms are a text's words and the beginnings of its words. They are hashed. Chosen are the terms that go with the label
+by a significance test, and those that toxic texts have most often whether or not clean ones have them as often; a
+factorization machine over them learns a weight for each term and a weight for each pair (by inner products of
+factors), so that terms which are harmless alone can count together.
 
 Scale: fitting takes a bounded sample of labelled rows (``max_rows``) whose chosen terms fit the driver easily;
 scoring is map-only with a model of at most ``max_terms`` rows.
@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docsieve.llm.text import alnum_words, cut
+from docsieve.llm.text import Memory, alnum_words, forget, stored
 
 BEGINNINGS = (4, 5, 6, 7, 8)
 
@@ -31,16 +31,16 @@ def hashed(word: bytes, bits: int) -> list[int]:
     return [zlib.crc32(b"w" + word) & mask, *(zlib.crc32(b"%d" % n + word[:n]) & mask for n in BEGINNINGS if len(word) > n)]
 
 
-def terms(text: bytes | None, bits: int, cache: dict[bytes, list[int]], keep: dict[int, int] | None = None) -> Counter:
+def terms(text: bytes | None, bits: int, cache: Memory, keep: dict[int, int] | None = None) -> Counter:
     """How often each hashed term occurs; with ``keep`` only those terms, by their place in the model."""
     out: Counter = Counter()
-    if len(cache) > 400_000:
-        cache.clear()
+    cache.make_room()
     for word, n in Counter(alnum_words(text)).items():
         got = cache.get(word)
         if got is None:
             got = hashed(word, bits)
-            cache[word] = got = got if keep is None else [keep[t] for t in got if t in keep]
+            got = got if keep is None else [keep[t] for t in got if t in keep]
+            cache.keep(word, got)
         for t in got:
             out[t] += n
     return out
@@ -89,11 +89,13 @@ class Machine:
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-        max_rows: int = 20_000, max_terms: int = 4096, bits: int = 20, least: int = 4, least_z: float = 5.0) -> tuple[dict[int, int], Machine]:
+        max_rows: int = 20_000, max_terms: int = 4096, bits: int = 20, least: int = 4, least_z: float = 5.0,
+        neutral: int = 128, common: float = 0.6) -> tuple[dict[int, int], Machine]:
     """Chosen terms and the machine, from at most ``max_rows`` labelled documents (those of smallest id hash).
 
     Labels other than 0 and 1, null ids and ids without a document are left out. Several labels or documents of
-    an id are all used. With no usable label the model is the constant 0.5.
+    an id are all used. With no usable label the model is the constant 0.5. ``least_z`` is the test's limit;
+    ``neutral`` further terms are those of most toxic texts among the ones that at most the share ``common`` of all have.
     """
     usable = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label_col).cast("double").alias("y"))
     drawn = usable.orderBy(F.xxhash64("id"), "id", "y").limit(max_rows)
@@ -101,14 +103,14 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     sample = texts.join(F.broadcast(drawn), "id").select("y", "text")
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: dict[bytes, list[int]] = {}
+        cache = Memory()
         for batch in batches:
             found = [terms(t, bits, cache) for t in batch["text"].to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch["y"], pa.array([list(f) for f in found], pa.list_(pa.int32())), pa.array([list(f.values()) for f in found], pa.list_(pa.int32()))],
                 ["y", "term", "n"])
 
-    rows = cut(sample.mapInArrow(gather, "y double, term array<int>, n array<int>"))
+    rows = stored(sample.mapInArrow(gather, "y double, term array<int>, n array<int>"))
     base = rows.agg(F.count("*").alias("n"), F.sum("y").alias("p")).first()
     rate = (base["p"] or 0.0) / max(base["n"], 1)
     if not 0 < rate < 1:
@@ -116,11 +118,14 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
         machine.b = 0.0 if not base["n"] else (4.0 if rate else -4.0)
         return {}, machine
     z = (F.col("p") - F.col("n") * rate) / F.sqrt(F.col("n") * (rate * (1 - rate)))
-    chosen = (
+    counted = stored(
         rows.select("y", F.explode("term").alias("term")).groupBy("term").agg(F.count("*").alias("n"), F.sum("y").alias("p"))
-        .where(F.col("n") >= least).withColumn("z", F.abs(z)).where(F.col("z") >= least_z).orderBy(F.desc("z"), "term").limit(max_terms)
+        .where(F.col("n") >= least).withColumn("z", F.abs(z))
     )
-    keep = {r["term"]: i for i, r in enumerate(chosen.select("term").collect())}
+    telling = counted.where(F.col("z") >= least_z).orderBy(F.desc("z"), "term").limit(max_terms)
+    others = counted.where((F.col("z") < least_z) & (F.col("p") >= least) & (F.col("n") <= common * base["n"])).orderBy(F.desc("p"), "term").limit(neutral)
+    keep = {r["term"]: i for i, r in enumerate([*telling.select("term").collect(), *others.select("term").collect()])}
+    forget(counted)
     shared = docs.sparkSession.sparkContext.broadcast(keep)
 
     def slim(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,7 +153,7 @@ def toxicity(docs: DataFrame, model: tuple[dict[int, int], Machine], *, id_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep, machine = shared.value
-        cache: dict[bytes, list[int]] = {}
+        cache = Memory()
         for batch in batches:
             scores = score_texts(batch["text"].to_pylist(), keep, machine, bits, cache)
             yield pa.RecordBatch.from_arrays([batch["id"], pa.array(scores), pa.array((scores >= limit).astype(np.int32))], ["id", "score", "predicted"])
@@ -157,7 +162,7 @@ def toxicity(docs: DataFrame, model: tuple[dict[int, int], Machine], *, id_col:
     return rows.mapInArrow(run, f"id {kind}, score double, predicted int").withColumnRenamed("id", id_col)
 
 
-def score_texts(texts: list[bytes | None], keep: dict[int, int], machine: Machine, bits: int, cache: dict) -> np.ndarray:
+def score_texts(texts: list[bytes | None], keep: dict[int, int], machine: Machine, bits: int, cache: Memory) -> np.ndarray:
     found = [terms(t, bits, cache, keep) for t in texts]
     row = np.repeat(np.arange(len(found)), [len(f) for f in found])
     col = np.array([t for f in found for t in f], np.int64)
@@ -173,7 +178,7 @@ def keep_clean(docs: DataFrame, model, *, text_col: str = "text", bits: int = 20
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep, machine = shared.value
-        cache: dict[bytes, list[int]] = {}
+        cache = Memory()
         for batch in batches:
             scores = score_texts(batch.column(place).cast(pa.binary()).to_pylist(), keep, machine, bits, cache)
             yield batch.filter(pa.array(scores < limit))
