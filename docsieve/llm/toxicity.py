@@ -90,7 +90,7 @@ class Machine:
 
 def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
         max_rows: int = 20_000, max_terms: int = 4096, bits: int = 20, least: int = 4, least_z: float = 5.0,
-        neutral: int = 128, common: float = 0.6) -> tuple[dict[int, int], Machine]:
+        neutral: int = 32, common: float = 0.6) -> tuple[dict[int, int], Machine]:
     """Chosen terms and the machine, from at most ``max_rows`` labelled documents (those of smallest id hash).
 
     Labels other than 0 and 1, null ids and ids without a document are left out. Several labels or documents of
