@@ -88,6 +88,13 @@ class Machine:
         return self
 
 
+def parts(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Batches of few rows, as a text's terms take many times its size."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
         max_rows: int = 20_000, max_terms: int = 4096, bits: int = 20, least: int = 4, least_z: float = 5.0,
         neutral: int = 32, common: float = 0.6) -> tuple[dict[int, int], Machine]:
@@ -104,7 +111,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = Memory()
-        for batch in batches:
+        for batch in parts(batches):
             found = [terms(t, bits, cache) for t in batch["text"].to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch["y"], pa.array([list(f) for f in found], pa.list_(pa.int32())), pa.array([list(f.values()) for f in found], pa.list_(pa.int32()))],
@@ -154,7 +161,7 @@ def toxicity(docs: DataFrame, model: tuple[dict[int, int], Machine], *, id_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep, machine = shared.value
         cache = Memory()
-        for batch in batches:
+        for batch in parts(batches):
             scores = score_texts(batch["text"].to_pylist(), keep, machine, bits, cache)
             yield pa.RecordBatch.from_arrays([batch["id"], pa.array(scores), pa.array((scores >= limit).astype(np.int32))], ["id", "score", "predicted"])
 
@@ -179,7 +186,7 @@ def keep_clean(docs: DataFrame, model, *, text_col: str = "text", bits: int = 20
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep, machine = shared.value
         cache = Memory()
-        for batch in batches:
+        for batch in parts(batches):
             scores = score_texts(batch.column(place).cast(pa.binary()).to_pylist(), keep, machine, bits, cache)
             yield batch.filter(pa.array(scores < limit))
 
