@@ -16,24 +16,42 @@ def exact(requests: DataFrame, master: DataFrame, *, text: str, key: str = "requ
     return best.select(key, F.col(f"b.{value}").alias(value), F.when(F.col("b.prio") == 0, "ticker").otherwise("name").alias("by"))
 
 
-def significant(text: Column) -> Column:
-    return F.filter(F.split(F.upper(F.trim(text)), r"[^A-Z0-9]+"), lambda w: (F.length(w) > 1))
+def entries(master: DataFrame, *, value: str = "company_id") -> DataFrame:
+    """``k, found, place``: upper-case tickers and names as keys, in the order of the companies, a ticker before its name.
+
+    A key that occurs again keeps its first place and has its last company.
+    """
+    key = lambda c, n: master.select(F.upper(c).alias("k"), F.struct(F.col(value), F.lit(n).alias("which")).alias("place"))
+    return key("ticker", 0).unionByName(key("name", 1)).where("k is not null").groupBy("k").agg(F.max("place")[value].alias("found"), F.min("place").alias("place"))
 
 
 def fuzzy(requests: DataFrame, master: DataFrame, *, text: str, key: str = "request_id", value: str = "company_id") -> DataFrame:
-    """``key, value, common``: the first company with the same first word and min(2, words) words in common.
+    """``key, value``: the first entry that starts with the text's first word and has min(2, words) of its words.
 
-    The first word is the blocking key of an equi-join, so no pair without it is tested; within a block the number
-    of words in common and then the company's order decide. Each different list of words is resolved once, on both
-    sides, and the answer joined back to all its requests.
+    The text's words are those of more than two letters between blanks, in upper case, repeats included. The smallest
+    entry of each first word, and of each first word with another word, is found before the join, so a text meets one
+    entry per word and no frequent first word is expanded; each different list of words is resolved once.
     """
-    asked = requests.select(key, F.array_distinct(significant(F.col(text))).alias("words")).where(F.size("words") > 0)
-    known = master.select(value, F.array_distinct(significant(F.col("name"))).alias("known")).where(F.size("known") > 0).groupBy("known").agg(F.min(value).alias(value))
+    asked = requests.select(key, F.filter(F.split(F.upper(text), r"\s+"), lambda w: F.length(w) > 2).alias("words")).where(F.size("words") > 0)
     texts = asked.select("words").distinct().withColumn("first", F.get("words", F.lit(0)))
-    common = F.size(F.array_intersect("words", "known"))
-    hits = texts.join(known.withColumn("first", F.get("known", F.lit(0))), "first").withColumn("common", common).where(F.col("common") >= F.least(F.lit(2), F.size("words")))
-    best = hits.groupBy("words").agg(F.min(F.struct(-F.col("common"), F.col(value))).alias("b"))
-    return asked.join(best, "words").groupBy(key).agg(F.min("b").alias("b")).select(key, F.col(f"b.{value}").alias(value), (-F.col("b.col1")).alias("common"))
+    known = entries(master, value=value).withColumn("known", F.split("k", r"\s+")).withColumn("first", F.get("known", F.lit(0)))
+    least = F.min(F.struct("place", "found")).alias("b")
+    alone = (F.size("words") == 1) | (F.size(F.filter("words", lambda w: w == F.col("first"))) > 1)
+    one = texts.where(alone).join(known.groupBy("first").agg(least), "first").select("words", "b")
+    pairs = known.select("first", "place", "found", F.explode(F.array_distinct("known")).alias("other")).groupBy("first", "other").agg(least)
+    two = texts.where(~alone).select("words", "first", F.explode(F.array_except("words", F.array("first"))).alias("other")).join(pairs, ["first", "other"]).select("words", "b")
+    best = one.unionByName(two).groupBy("words").agg(F.min("b").alias("b"))
+    return asked.join(best, "words").select(key, F.col("b.found").alias(value))
+
+
+def lookup(requests: DataFrame, master: DataFrame, *, ticker: str, text: str, key: str = "request_id", value: str = "company_id") -> DataFrame:
+    """``key, value, step``: the entry of the ticker (0), else of the whole text (1), else the first similar one (2)."""
+    known = entries(master, value=value)
+    exact = lambda c, step: requests.select(key, F.upper(c).alias("k")).join(known, "k").select(key, F.lit(step).alias("step"), F.col("found").alias(value))
+    found = exact(ticker, 0).unionByName(exact(text, 1))
+    rest = requests.join(found.select(key), key, "left_anti")
+    every = found.unionByName(fuzzy(rest, master, text=text, key=key, value=value).withColumn("step", F.lit(2)).select(key, "step", value))
+    return every.groupBy(key).agg(F.min(F.struct("step", value)).alias("b")).select(key, F.col(f"b.{value}").alias(value), "b.step")
 
 
 def contained(requests: DataFrame, master: DataFrame, *, text: str, key: str = "request_id", value: str = "company_id") -> DataFrame:

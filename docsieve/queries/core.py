@@ -402,24 +402,30 @@ def r01(spark, d):
     return matching.exact(asked, fixture(spark, d, "fx_company"), text="asked")
 
 
-@query("r02_fuzzy_lookup", ("fx_request",), """
-asked AS (SELECT request_id, list_distinct(string_split(upper(name), ' ')) AS w, split_part(upper(name), ' ', 1) AS f FROM fx_request WHERE request_id % 3 = 0),
-known AS (SELECT company_id, list_distinct(string_split(upper(name), ' ')) AS k, split_part(upper(name), ' ', 1) AS f FROM fx_company WHERE company_id % 7 = 0),
-hits AS (SELECT request_id, company_id, len(list_intersect(w, k)) AS common, len(w) AS n FROM asked JOIN known USING (f))
-SELECT request_id, company_id, CAST(common AS INT) AS common FROM hits WHERE common >= least(2, n) QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY common DESC, company_id) = 1""")
+ENTRIES = """
+entries AS (SELECT k, min(o) AS place, max(company_id) AS found FROM (SELECT upper(ticker) AS k, company_id * 2 AS o, company_id FROM fx_company UNION ALL SELECT upper(name), company_id * 2 + 1, company_id FROM fx_company) GROUP BY k),
+e AS (SELECT *, string_split_regex(k, '\\s+') AS kw FROM entries),
+asked AS (SELECT DISTINCT text, list_filter(string_split_regex(upper(text), '\\s+'), lambda w: length(w) > 2) AS w FROM r),
+hits AS (SELECT text, found, place FROM asked JOIN e ON kw[1] = w[1] WHERE len(list_filter(w, lambda x: list_contains(kw, x))) >= least(2, len(w))),
+best AS (SELECT text, found FROM hits QUALIFY row_number() OVER (PARTITION BY text ORDER BY place) = 1)"""
+
+
+@query("r02_fuzzy_lookup", ("fx_request",), f"""
+r AS (SELECT request_id, name AS text FROM fx_request), {ENTRIES}
+SELECT request_id, found AS company_id FROM r JOIN best USING (text)""")
 def r02(spark, d):
-    return matching.fuzzy(fixture(spark, d, "fx_request").where("request_id % 3 = 0"), fixture(spark, d, "fx_company").where("company_id % 7 = 0"), text="name")
+    return matching.fuzzy(fixture(spark, d, "fx_request"), fixture(spark, d, "fx_company"), text="name")
 
 
-@query("r02_fuzzy_lookup_whole", ("fx_request",), """
-asked AS (SELECT DISTINCT name, list_distinct(string_split(upper(name), ' ')) AS w, split_part(upper(name), ' ', 1) AS f FROM fx_request),
-known AS (SELECT min(company_id) AS company_id, list_distinct(string_split(upper(name), ' ')) AS k, split_part(upper(name), ' ', 1) AS f FROM fx_company GROUP BY ALL),
-hits AS (SELECT name, company_id, len(list_intersect(w, k)) AS common, len(w) AS n FROM asked JOIN known USING (f)),
-best AS (SELECT name, company_id, common FROM hits WHERE common >= least(2, n) QUALIFY row_number() OVER (PARTITION BY name ORDER BY common DESC, company_id) = 1)
-SELECT request_id, b.company_id, CAST(common AS INT) AS common FROM fx_request JOIN best b USING (name)""")
+@query("r02_fuzzy_lookup_whole", ("fx_request",), f"""
+r AS (SELECT request_id, CASE WHEN request_id % 3 = 0 THEN ticker ELSE '?' END AS tick, CASE WHEN request_id % 3 = 2 THEN 'my ' || name || ' works' ELSE name END AS text FROM fx_request), {ENTRIES}
+SELECT request_id, coalesce(t.found, n.found, best.found) AS company_id, CASE WHEN t.found IS NOT NULL THEN 0 WHEN n.found IS NOT NULL THEN 1 ELSE 2 END AS step
+FROM r LEFT JOIN entries t ON t.k = upper(tick) LEFT JOIN entries n ON n.k = upper(text) LEFT JOIN best USING (text) WHERE coalesce(t.found, n.found, best.found) IS NOT NULL""")
 def r02_whole(spark, d):
-    """r02 over every request and every company; the rows that r02_fuzzy_lookup takes are set by its SQL."""
-    return matching.fuzzy(fixture(spark, d, "fx_request"), fixture(spark, d, "fx_company"), text="name")
+    """The whole chain of ticker, name and similar name, over all requests and companies."""
+    k = F.col("request_id")
+    asked = fixture(spark, d, "fx_request").select(k, F.when(k % 3 == 0, F.col("ticker")).otherwise("?").alias("tick"), F.when(k % 3 == 2, F.concat(F.lit("my "), "name", F.lit(" works"))).otherwise(F.col("name")).alias("text"))
+    return matching.lookup(asked, fixture(spark, d, "fx_company"), ticker="tick", text="text")
 
 
 @query("r04_contained_name", ("fx_request",), """
@@ -432,25 +438,23 @@ def r04(spark, d):
     return matching.contained(asked, known, text="asked", key="asked")
 
 
-@query("r07_most_overlap", ("fx_request",), """
+OVERLAP = """
 asked AS (SELECT DISTINCT raw_query AS asked FROM fx_request), w AS (SELECT asked, unnest(list_distinct(string_split(lower(trim(asked)), ' '))) AS w FROM asked),
-listing AS (SELECT company_id, name, ticker FROM fx_company WHERE company_id % 11 = 0), k AS (SELECT company_id, unnest(list_distinct(string_split(lower(name), ' '))) AS w FROM listing),
-s AS (SELECT asked, company_id, count(*) AS score FROM w JOIN k USING (w) WHERE w <> '' GROUP BY ALL UNION ALL SELECT asked, company_id, 999 FROM w JOIN listing ON w = lower(ticker))
-SELECT asked, company_id, score FROM s QUALIFY row_number() OVER (PARTITION BY asked ORDER BY score DESC, company_id) = 1""")
+named AS (SELECT lower(name) AS name, min(company_id) AS company_id FROM fx_company GROUP BY ALL), k AS (SELECT company_id, unnest(list_distinct(string_split(name, ' '))) AS w FROM named),
+s AS (SELECT asked, company_id, count(*) AS score FROM w JOIN k USING (w) WHERE w <> '' GROUP BY ALL UNION ALL SELECT asked, company_id, 999 FROM w JOIN fx_company ON w = lower(ticker)),
+best AS (SELECT asked, company_id, score FROM s QUALIFY row_number() OVER (PARTITION BY asked ORDER BY score DESC, company_id) = 1)"""
+
+
+@query("r07_most_overlap", ("fx_request",), OVERLAP + " SELECT asked, company_id, score FROM best")
 def r07(spark, d):
     asked = fixture(spark, d, "fx_request").select(F.col("raw_query").alias("asked")).distinct()
-    return matching.most_overlap(asked, fixture(spark, d, "fx_company").where("company_id % 11 = 0"), text="asked", key="asked")
+    return matching.most_overlap(asked, fixture(spark, d, "fx_company"), text="asked", key="asked")
 
 
-@query("r07_most_overlap_whole", ("fx_request",), """
-asked AS (SELECT DISTINCT raw_query AS asked FROM fx_request), w AS (SELECT asked, unnest(list_distinct(string_split(lower(trim(asked)), ' '))) AS w FROM asked),
-named AS (SELECT lower(name) AS name, min(company_id) AS company_id FROM fx_company GROUP BY ALL), k AS (SELECT company_id, unnest(list_distinct(string_split(name, ' '))) AS w FROM named),
-s AS (SELECT asked, company_id, count(*) AS score FROM w JOIN k USING (w) WHERE w <> '' GROUP BY ALL UNION ALL SELECT asked, company_id, 999 FROM w JOIN fx_company ON w = lower(ticker))
-SELECT asked, company_id, score FROM s QUALIFY row_number() OVER (PARTITION BY asked ORDER BY score DESC, company_id) = 1""")
+@query("r07_most_overlap_whole", ("fx_request",), OVERLAP + " SELECT request_id, b.company_id, score FROM fx_request JOIN best b ON raw_query = asked")
 def r07_whole(spark, d):
-    """r07 over every company; the rows that r07_most_overlap takes are set by its SQL."""
-    asked = fixture(spark, d, "fx_request").select(F.col("raw_query").alias("asked")).distinct()
-    return matching.most_overlap(asked, fixture(spark, d, "fx_company"), text="asked", key="asked")
+    """The answer of every request; each different text is resolved once."""
+    return fixture(spark, d, "fx_request").select("request_id", F.col("raw_query").alias("asked")).join(r07(spark, d), "asked").select("request_id", "company_id", "score")
 
 
 #: Names of exchanges and the codes they stand for, in order.

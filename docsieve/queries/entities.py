@@ -34,11 +34,11 @@ def p09(spark, d):
 
 @query("p13_known_addresses", ("fx_request",), """
 plain AS (SELECT request_id, year, trim(replace(replace(replace(replace(replace(lower(name), ' limited', ''), ' ltd', ''), ' inc', ''), ' plc', ''), ' corp', '')) AS known FROM fx_request),
-patterns AS (SELECT DISTINCT p_name AS known, 1 AS ord, 'https://a.com/' || replace(p_name, ' ', '-') || '-{year}-{nyy}.pdf' AS pattern FROM part WHERE p_partkey % 2 = 0 UNION SELECT DISTINCT p_name, 2, 'https://a.com/{pyear}/{pyy}-{yy}-{nyear}.pdf' FROM part WHERE p_partkey % 2 = 0)
+patterns AS (SELECT DISTINCT p_name AS known, 1 AS ord, 'https://a.com/' || replace(p_name, ' ', '-') || '-{year}-{nyy}.pdf' AS pattern FROM part UNION SELECT DISTINCT p_name, 2, 'https://a.com/{pyear}/{pyy}-{yy}-{nyear}.pdf' FROM part)
 SELECT request_id, ord, replace(replace(replace(replace(replace(replace(pattern, '{year}', year::VARCHAR), '{nyear}', (year + 1)::VARCHAR), '{pyear}', (year - 1)::VARCHAR), '{yy}', substr(year::VARCHAR, 3, 2)), '{nyy}', substr((year + 1)::VARCHAR, 3, 2)), '{pyy}', substr((year - 1)::VARCHAR, 3, 2)) AS url
 FROM plain JOIN patterns USING (known)""")
 def p13(spark, d):
-    names = spark.read.parquet(f"{d}/part.parquet").where("p_partkey % 2 = 0").select(F.col("p_name").alias("known_name")).distinct()
+    names = spark.read.parquet(f"{d}/part.parquet").select(F.col("p_name").alias("known_name")).distinct()
     one = names.select("known_name", F.lit(1).alias("ord"), F.concat(F.lit("https://a.com/"), F.replace("known_name", F.lit(" "), F.lit("-")), F.lit("-{year}-{nyy}.pdf")).alias("pattern"))
     two = names.select("known_name", F.lit(2).alias("ord"), F.lit("https://a.com/{pyear}/{pyy}-{yy}-{nyear}.pdf").alias("pattern"))
     return ent.known_addresses(fixture(spark, d, "fx_request"), one.unionByName(two))
@@ -56,12 +56,12 @@ def r03(spark, d):
 
 @query("r05_alias_match", ("fx_request",), """
 asked AS (SELECT DISTINCT name AS q FROM fx_request), a AS (SELECT q, upper(trim(q)) AS t, list_filter(string_split(upper(trim(q)), ' '), lambda w: length(w) > 2) AS w FROM asked),
-k AS (SELECT site_id, upper(alias) AS alias, row_number() OVER (PARTITION BY site_id) AS alias_pos FROM (SELECT min(p_partkey) AS site_id, unnest([p_name, split_part(p_name, ' ', 1) || ' group works']) AS alias FROM part WHERE p_size < 20 GROUP BY p_name)),
+k AS (SELECT site_id, upper(alias) AS alias, row_number() OVER (PARTITION BY site_id) AS alias_pos FROM (SELECT min(p_partkey) AS site_id, unnest([p_name, split_part(p_name, ' ', 1) || ' group works']) AS alias FROM part GROUP BY p_name)),
 h AS (SELECT q, site_id, CASE WHEN t = alias THEN 0 WHEN contains(t, alias) OR contains(alias, t) THEN 1 ELSE
   CASE WHEN s >= 2 OR (s >= 1 AND len(w) = 1) THEN 2 END END AS step FROM (SELECT *, len(list_filter(w, lambda x: len(list_filter(string_split(alias, ' '), lambda b: contains(x, b) OR contains(b, x))) > 0)) AS s FROM a CROSS JOIN k))
 SELECT q, site_id, step FROM h WHERE step IS NOT NULL QUALIFY row_number() OVER (PARTITION BY q ORDER BY step, site_id) = 1""")
 def r05(spark, d):
-    sites = spark.read.parquet(f"{d}/part.parquet").where("p_size < 20").groupBy("p_name").agg(F.min("p_partkey").alias("site_id"))
+    sites = spark.read.parquet(f"{d}/part.parquet").groupBy("p_name").agg(F.min("p_partkey").alias("site_id"))
     sites = sites.select("site_id", F.array(F.col("p_name"), F.concat(F.substring_index("p_name", " ", 1), F.lit(" group works"))).alias("aliases"))
     return ent.by_alias(fixture(spark, d, "fx_request").select(F.col("name").alias("q")).distinct(), sites, text="q", key="q")
 

@@ -81,10 +81,10 @@ def s10(spark, d):
 
 
 @query("u04_query_sets", ("fx_candidate",), """
-h AS (SELECT request_id, url, CASE source WHEN 'web' THEN 1 ELSE 0 END AS query_ord, pos FROM fx_candidate WHERE pos % 2 = 0 UNION ALL SELECT request_id, url, 2, pos FROM fx_candidate WHERE pos % 3 = 0)
+h AS (SELECT request_id, url, CASE source WHEN 'web' THEN 1 ELSE 0 END AS query_ord, pos FROM fx_candidate WHERE pos % 2 = 0 UNION ALL SELECT request_id, url, 2, pos FROM fx_candidate WHERE pos % 2 = 1 OR pos % 3 = 0)
 SELECT request_id, url, query_ord, pos FROM h QUALIFY row_number() OVER (PARTITION BY request_id, url ORDER BY query_ord, pos) = 1""")
 def u04(spark, d):
     df = fixture(spark, d, "fx_candidate")
     standard = df.where("pos % 2 = 0").select("request_id", "url", F.when(F.col("source") == "web", 1).otherwise(0).alias("query_ord"), "pos")
-    other = df.where("pos % 3 = 0").select("request_id", "url", F.lit(2).alias("query_ord"), "pos")
+    other = df.where("pos % 2 = 1 or pos % 3 = 0").select("request_id", "url", F.lit(2).alias("query_ord"), "pos")
     return ranking.first_by(standard.unionByName(other), ["request_id", "url"], [F.asc("query_ord"), F.asc("pos")])

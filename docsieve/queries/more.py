@@ -236,13 +236,13 @@ def r09(spark, d):
 
 @query("l02_l04_merged_channels", ("fx_candidate",), """
 p AS (SELECT request_id, url, pos FROM fx_candidate WHERE contains(url, '.pdf')),
-s AS (SELECT request_id, url AS link, 0 AS channel, min(pos) AS first FROM p WHERE pos % 2 = 0 GROUP BY ALL UNION ALL SELECT request_id, url, 1, min(pos) FROM p WHERE pos % 3 = 0 GROUP BY ALL)
+s AS (SELECT request_id, url AS link, 0 AS channel, min(pos) AS first FROM p WHERE pos % 2 = 0 GROUP BY ALL UNION ALL SELECT request_id, url, 1, min(pos) FROM p WHERE pos % 2 = 1 OR pos % 3 = 0 GROUP BY ALL)
 SELECT request_id, link, min(channel) AS channel FROM s GROUP BY ALL""")
 def l02(spark, d):
     df = fixture(spark, d, "fx_candidate").where(F.contains("url", F.lit(".pdf")))
     tag = lambda f: F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "url"))), f), "")
     a = df.where("pos % 2 = 0").groupBy("request_id").agg(tag(lambda r: F.concat(F.lit('<a class="x" href="'), r["url"], F.lit('">Report</a>'))).alias("html"))
-    b = df.where("pos % 3 = 0").groupBy("request_id").agg(tag(lambda r: F.concat(F.lit("<b onclick=\"open('"), r["url"], F.lit("')\">x</b>"))).alias("html"))
+    b = df.where("pos % 2 = 1 or pos % 3 = 0").groupBy("request_id").agg(tag(lambda r: F.concat(F.lit("<b onclick=\"open('"), r["url"], F.lit("')\">x</b>"))).alias("html"))
     based = lambda x: x.withColumn("url", F.lit("https://a.com/p"))
     merged = links.merged_channels([links.document_links(based(a), page="request_id"), links.scripted_links(based(b), page="request_id")], page="request_id")
     return merged.select("request_id", "link", "channel")
@@ -361,12 +361,13 @@ def t04(spark, d):
 
 
 @query("t05_newest_snapshot", ("fx_session",), """
-a AS (SELECT seq AS request_id, ts AS asked_at FROM fx_session WHERE kind = 'status'), s AS (SELECT seq AS snapshot_id, ts AS taken_at FROM fx_session WHERE seq % 97 = 0)
+a AS (SELECT seq AS request_id, ts AS asked_at FROM fx_session WHERE kind = 'status'), s AS (SELECT seq AS snapshot_id, ts AS taken_at FROM fx_session QUALIFY row_number() OVER (PARTITION BY CAST(ts AS DATE) ORDER BY ts DESC, seq DESC) = 1)
 SELECT request_id, snapshot_id FROM a JOIN s ON taken_at BETWEEN asked_at - INTERVAL 24 HOUR AND asked_at QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY taken_at DESC) = 1""")
 def t05(spark, d):
     df = fixture(spark, d, "fx_session")
     asked = df.where("kind = 'status'").select(F.col("seq").alias("request_id"), F.col("ts").alias("asked_at"))
-    return sessions.newest_snapshot(asked, df.where("seq % 97 = 0").select(F.col("seq").alias("snapshot_id"), F.col("ts").alias("taken_at")))
+    daily = df.groupBy(F.to_date("ts")).agg(F.max(F.struct("ts", "seq")).alias("last"))
+    return sessions.newest_snapshot(asked, daily.select(F.col("last.seq").alias("snapshot_id"), F.col("last.ts").alias("taken_at")))
 
 
 @query("t06_exhausted", ("fx_session",), """

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+from datetime import datetime
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,9 +36,17 @@ def library_rows(items: DataFrame) -> DataFrame:
     return items.na.fill(defaults).na.fill({"score": 0.0})
 
 
-def append_library(items: DataFrame, path: str) -> None:
-    saved = library_rows(items).withColumns({"item_id": F.uuid(), "saved_at": F.current_timestamp()})
+def append_library(items: DataFrame, path: str) -> DataFrame:
+    """Appends the items and returns them with their new ids.
+
+    An id is made of the item and one number of the call, so a task that runs again makes the same one; items equal in
+    every column share it.
+    """
+    call, rows = uuid.uuid4().hex, library_rows(items)
+    made = F.sha2(F.concat(F.lit(call), F.to_json(F.struct(*rows.columns))), 256)
+    saved = rows.withColumns({"item_id": made, "saved_at": F.lit(datetime.now())})
     bucketed(saved).write.mode("append").partitionBy("user_bucket").parquet(path)
+    return saved
 
 
 def feedback_rows(items: DataFrame, *, longest: int = 500) -> DataFrame:
@@ -43,6 +54,11 @@ def feedback_rows(items: DataFrame, *, longest: int = 500) -> DataFrame:
     return items.where(F.length(F.coalesce("user_note", F.lit(""))) <= longest).withColumn("status", F.lit("pending"))
 
 
+def append_feedback(items: DataFrame, path: str, *, longest: int = 500) -> None:
+    """Appends accepted feedback with the time of writing."""
+    feedback_rows(items, longest=longest).withColumn("created_at", F.current_timestamp()).write.mode("append").parquet(path)
+
+
 def without_keys(history: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
     """The rows that stay after the keys are deleted."""
     return history.join(keys.select(*on).distinct(), on, "left_anti")

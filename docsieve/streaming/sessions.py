@@ -87,9 +87,9 @@ def best_so_far(results: DataFrame, *, line: float = 0.90) -> DataFrame:
 
 
 def write_results(events: DataFrame, path: str, checkpoint: str):
-    """Stream sink: appends exactly the result events to the history table, batch by batch."""
+    """Stream sink: the result events in the history table, a folder per batch, so a batch that runs again replaces itself."""
 
     def append(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(path)
+        batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
     return events.where("kind = 'result'").writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
