@@ -73,12 +73,12 @@ def ticker(text: Column) -> Column:
 
 def sector_hits(text: Column) -> Column:
     """An array of (sector, hits) in order of precedence; every keyword found counts once for each listing."""
-    low = F.lower(text)
-    entries = []
-    for name, words in rules.SECTORS.items():
-        hits = reduce(lambda a, b: a + b, [F.when(low.contains(w), 1).otherwise(0) for w in words])
-        entries.append(F.struct(F.lit(name).alias("sector"), hits.alias("hits")))
-    return F.array(*entries)
+    def counted(low: Column) -> Column:
+        found = lambda words: F.size(F.filter(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(low, w)))
+        return F.array(*[F.struct(F.lit(name).alias("sector"), found(words).alias("hits")) for name, words in rules.SECTORS.items()])
+
+    # As the element of an array the lower-case text is made once for all keywords.
+    return F.get(F.transform(F.array(F.lower(text)), counted), F.lit(0))
 
 
 def region(name: Column, country: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -22,7 +24,10 @@ from docsieve.streaming import sessions
 
 def scratch(spark, name: str) -> str:
     """A new folder for streaming state and sinks, in the shared folder where the session names one."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/docsieve-streams"
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    base = base or os.path.join(tempfile.gettempdir(), "docsieve-streams")
     return f"{base}/{name}-{uuid.uuid4().hex}"
 
 
