@@ -46,12 +46,14 @@ def fuzzy(requests: DataFrame, master: DataFrame, *, text: str, key: str = "requ
 
 def lookup(requests: DataFrame, master: DataFrame, *, ticker: str, text: str, key: str = "request_id", value: str = "company_id") -> DataFrame:
     """``key, value, step``: the entry of the ticker (0), else of the whole text (1), else the first similar one (2)."""
-    known = entries(master, value=value)
-    exact = lambda c, step: requests.select(key, F.upper(c).alias("k")).join(known, "k").select(key, F.lit(step).alias("step"), F.col("found").alias(value))
-    found = exact(ticker, 0).unionByName(exact(text, 1))
-    rest = requests.join(found.select(key), key, "left_anti")
-    every = found.unionByName(fuzzy(rest, master, text=text, key=key, value=value).withColumn("step", F.lit(2)).select(key, "step", value))
-    return every.groupBy(key).agg(F.min(F.struct("step", value)).alias("b")).select(key, F.col(f"b.{value}").alias(value), "b.step")
+    known = entries(master, value=value).select("k", "found")
+    own, named = known.toDF("own_k", "own"), known.toDF("named_k", "named")
+    like = fuzzy(requests.select(F.col(text).alias("asked")).distinct(), master, text="asked", key="asked", value=value).toDF("asked", "like")
+    every = (
+        requests.join(own, F.upper(ticker) == F.col("own_k"), "left").join(named, F.upper(text) == F.col("named_k"), "left").join(like, F.col(text) == F.col("asked"), "left")
+    )
+    step = F.when(F.col("own").isNotNull(), 0).when(F.col("named").isNotNull(), 1).when(F.col("like").isNotNull(), 2)
+    return every.select(key, F.coalesce("own", "named", "like").alias(value), step.alias("step")).where("step is not null")
 
 
 def contained(requests: DataFrame, master: DataFrame, *, text: str, key: str = "request_id", value: str = "company_id") -> DataFrame:
