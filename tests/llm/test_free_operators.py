@@ -243,13 +243,50 @@ def test_top_k_against_all_products(spark):
     assert topk.top_k(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_top_k_with_text_ids_repeated_ids_and_overflow(spark):
+    rng = np.random.default_rng(5)
+    rows = [(f"id{i:03}", [float(x) for x in rng.integers(-9, 9, 4)]) for i in range(120)]
+    rows += [("id007", [9.0, 9.0, 9.0, 9.0]), ("id050", [1.0, 0.0, 0.0, 0.0]), ("big", [9e18, -9e18, 1.0, 0.0]), ("huge", [9e300] * 4)]
+    df = spark.createDataFrame(rows, "vec_id string, embedding array<double>")
+    asked = F.col("vec_id").isin("id000", "id050", "big", "huge")
+    whole = lambda x: int(min(max(np.floor(x * 256.0), -9.2e18), 9.2e18))
+    want = []
+    for q in ("id000", "id050", "big", "huge"):
+        best = {}
+        for a, u in rows:
+            for b, v in rows:
+                if a == q != b:
+                    s = min(max(sum(whole(x) * whole(y) for x, y in zip(u, v)), -(2**63)), 2**63 - 1)
+                    best[b] = max(s, best.get(b, s))
+        want += [(q, r + 1, b, s) for r, (b, s) in enumerate(sorted(best.items(), key=lambda x: (-x[1], x[0]))[:5])]
+    for block, sample in ((4096, 4096), (7, 20)):
+        assert sorted(tuple(r) for r in topk.top_k(df, asked, block=block, sample=sample).collect()) == sorted(want)
+
+
+def test_top_k_over_cells_that_stay_in_partitions_of_their_own(spark):
+    rng = np.random.default_rng(8)
+    x = rng.integers(-50, 50, (300, 6))
+    df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    want = [
+        (q, r + 1, b, int(s))
+        for q in range(0, 300, 50)
+        for r, (s, b) in enumerate(sorted(((65536 * int(x[q] @ x[b]), b) for b in range(300) if b != q), key=lambda p: (-p[0], p[1]))[:5])
+    ]
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # merged partitions would bring any two sides of a cell together
+    try:
+        got = topk.top_k(df, F.col("vec_id") % 50 == 0, block=60, sample=20).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert sorted(map(tuple, got)) == want
+
+
 def test_top_k_stops_early():
     x = np.concatenate([np.full((5, 2), 50.0), np.random.default_rng(1).normal(size=(5000, 2)).round()])
     calls = []
     real = topk.products
     topk.products = lambda q, part: calls.append(len(part)) or real(q, part)
     try:
-        list(topk.best_of_batch(np.array([-1]), np.array([[10.0, 10.0]]), np.array([-np.inf]), np.arange(len(x)), x, x[:8], 5))
+        list(topk.best_of_block(np.array([-1]), np.array([[10.0, 10.0]]), np.array([-np.inf]), np.arange(len(x)), x, x[:8], 5))
     finally:
         topk.products = real
     assert sum(calls) == 512
