@@ -3,12 +3,17 @@
 from pathlib import Path
 
 import duckdb
+import public_tokenizers as P
 import pytest
+import sentencepiece
+import tiktoken
+from pyspark.sql import functions as F
 
-from docsieve.llm import queries
+from docsieve.llm import queries, sentencepiece_scan, token_counts
 
 FOLDER = "/root/testdata/sf0.001"
 COLUMNS = {
+    "op4_line_dedup": "doc_id n_lines n_removed removed_lines text",
     "op3_sharding": "doc_id size text_crc32 law shard slot grown_shard",
     "op5_simhash": "doc_id fingerprint component_id",
     "op6_decontaminate": "doc_id n_words n_hit n_items items_sha256 contaminated",
@@ -38,6 +43,21 @@ def test_sql(spark, name):
     assert sorted(map(str, map(tuple, got.select(*columns).collect()))) == sorted(map(str, want))
 
 
+def test_token_counts_add_up(spark):
+    """Each document's lines together have the tokens of the whole text."""
+    enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=token_counts.read_ranks(token_counts.VOCABULARY), special_tokens={})
+    got = queries.QUERIES["op1_token_counts"](spark, FOLDER).groupBy("doc_id").agg(F.sum("n_tokens").alias("tokens")).collect()
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{FOLDER}/documents.parquet").collect()}
+    assert {r["doc_id"]: round(r["tokens"]) for r in got} == {i: len(enc.encode_ordinary(t or "")) for i, t in texts.items()}
+
+
+def test_pieces_are_those_of_the_library(spark):
+    library = sentencepiece.SentencePieceProcessor(model_file=sentencepiece_scan.MODEL)
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{FOLDER}/documents.parquet").collect()}
+    got = queries.QUERIES["op2_sentencepiece"](spark, FOLDER).collect()
+    assert {r["doc_id"]: r["ids"] for r in got} == {i: library.encode(t or "") for i, t in texts.items()}
+
+
 def test_held_out_folds(spark):
     import zlib
 
