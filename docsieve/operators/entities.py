@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from docsieve.functions import requests as rq
 from docsieve.functions.text import any_of, bare_host, host
-from docsieve.operators.ranking import SMALL, top_n
+from docsieve.operators.containment import containing
+from docsieve.operators.ranking import top_n
 
 # Words that tell a company's country, in order.
 COUNTRY_WORDS = (
@@ -98,19 +99,38 @@ def description_match(requests: DataFrame, rows: DataFrame, *, key: str = "reque
 
 
 def by_alias(requests: DataFrame, sites: DataFrame, *, text: str, key: str = "request_id") -> DataFrame:
-    """``key, site_id, step``: a site by an alias equal to the text, else contained either way, else by shared words.
+    """``key, site_id, step``: a site by an alias equal to the text (0), else contained either way (1), else by shared words (2).
 
-    ``sites (site_id, aliases)`` is a small table (its size is checked), as parts of words are compared.
+    ``sites (site_id, aliases)``. A word of the text with more than two letters is shared if it contains a word of the alias
+    or lies within one; two must be shared, or the only one. Ties go to the smallest site. Different texts, aliases and
+    words are compared once, through an index of n-grams; shared words are looked up as pairs of an alias's words, of which the first site is
+    known beforehand, so frequent words are not expanded. Empty texts and aliases match nothing.
     """
-    keys = sites.select("site_id", F.posexplode("aliases").alias("alias_pos", "alias")).withColumn("alias", F.upper("alias"))
-    if keys.count() > SMALL:
-        raise ValueError("too many aliases to test every pair")
-    asked = requests.select(key, F.upper(F.trim(text)).alias("t")).withColumn("w", F.filter(F.split("t", r"\s+"), lambda w: F.length(w) > 2))
-    known = F.split("alias", r"\s+")
-    shared = F.size(F.filter("w", lambda a: F.exists(known, lambda b: F.contains(a, b) | F.contains(b, a))))
-    step = F.when(F.col("t") == F.col("alias"), 0).when(F.contains("t", F.col("alias")) | F.contains("alias", F.col("t")), 1).when((shared >= 2) | ((shared >= 1) & (F.size("w") == 1)), 2)
-    hits = asked.join(F.broadcast(keys), step.isNotNull() & (F.col("t") != "")).withColumn("step", step)
-    return hits.groupBy(key).agg(F.min(F.struct("step", "site_id", "alias_pos")).alias("b")).select(key, "b.site_id", "b.step")
+    keys = sites.select("site_id", F.explode("aliases").alias("alias")).groupBy(F.upper("alias").alias("alias")).agg(F.min("site_id").alias("site_id")).where("alias <> ''")
+    rows = requests.select(key, F.upper(F.trim(text)).alias("text")).where("text <> ''")
+    asked = rows.select("text").distinct()
+    step = lambda hits, n: hits.select("text", "site_id", F.lit(n).alias("step"))
+    equal = step(asked.join(keys, F.col("text") == F.col("alias")), 0)
+    within = containing(keys.select(F.col("alias").alias("pattern")), asked).select("text", F.col("pattern").alias("alias"))
+    around = containing(asked.select(F.col("text").alias("pattern")), keys.select(F.col("alias").alias("text"))).select(F.col("pattern").alias("text"), F.col("text").alias("alias"))
+    part = step(within.unionByName(around).join(keys, "alias"), 1)
+    words = asked.select("text", F.filter(F.split("text", r"\s+"), lambda w: F.length(w) > 2).alias("ws"))
+    placed = words.select("text", F.size("ws").alias("m"), F.posexplode("ws").alias("at", "w"))
+    own = keys.select("site_id", F.array_remove(F.array_distinct(F.split("alias", r"\s+")), "").alias("own"))
+    names = lambda df, c, to: df.select(F.col(c).alias(to)).distinct()
+    parts, ours = own.select(F.explode("own").alias("a")), placed.select("w")
+    alike = containing(names(parts, "a", "pattern"), names(ours, "w", "text")).toDF("a", "w").unionByName(containing(names(ours, "w", "pattern"), names(parts, "a", "text")).toDF("w", "a")).distinct()
+    matched = placed.join(alike, "w").select("text", "m", "at", "a")
+    single = own.select("site_id", F.explode("own").alias("a")).groupBy("a").agg(F.min("site_id").alias("site_id"))
+    only = matched.where("m = 1").join(single, "a").select("text", "site_id")
+    # both words of a pair may be shared with the same word of the alias
+    twice = F.flatten(F.transform("own", lambda a: F.transform(F.filter("own", lambda b: b >= a), lambda b: F.struct(a.alias("a"), b.alias("b")))))
+    pairs = own.select("site_id", F.explode(twice).alias("p")).groupBy("p.a", "p.b").agg(F.min("site_id").alias("site_id"))
+    first, second = matched.toDF("text", "m", "i", "x"), matched.toDF("text", "m2", "j", "y")
+    both = first.join(second, "text").where("i < j").select("text", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    shared = step(only.unionByName(both.join(pairs, ["a", "b"]).select("text", "site_id")), 2)
+    best = equal.unionByName(part).unionByName(shared).groupBy("text").agg(F.min(F.struct("step", "site_id")).alias("b"))
+    return rows.join(best, "text").select(key, "b.site_id", "b.step")
 
 
 def own_site(requests: DataFrame, hits: DataFrame, *, key: str = "request_id") -> DataFrame:
@@ -150,14 +170,14 @@ def replaced_subsidiaries(entities: DataFrame, hits: DataFrame, tlds: DataFrame,
 def official_hits(hits: DataFrame, domains: DataFrame, *, name: str = "name") -> DataFrame:
     """PDF hits outside document-sharing sites, with ``official`` and ``confidence``.
 
-    ``domains (company, domains)`` is a small table: a company's own domains, by its name or a part of it. A company
-    without known domains has every site as official.
+    ``domains (company, domains)``: a company's own domains, by its name or a part of it in upper case. A company
+    without known domains has every site as official. Different names are looked up once, in an index of n-grams.
     """
     site = F.replace(host(F.col("url")), F.lit("www."), F.lit(""))
     pdf = hits.where(F.lower("url").endswith(".pdf") & ~any_of(site, SHARING_SITES))
-    names = pdf.select(name).distinct()
-    known = names.join(F.broadcast(domains), F.contains(F.upper(name), F.col("company"))).groupBy(name).agg(F.flatten(F.collect_list("domains")).alias("own"))
-    joined = pdf.join(known, name, "left")
+    found = containing(domains.select(F.col("company").alias("pattern")), pdf.select(F.upper(name).alias("text")))
+    known = found.join(domains, F.col("pattern") == F.col("company")).groupBy("text").agg(F.flatten(F.collect_set("domains")).alias("own"))
+    joined = pdf.withColumn("text", F.upper(name)).join(known, "text", "left").drop("text")
     official = F.col("own").isNull() | F.exists("own", lambda o: F.contains(site, o))
     return joined.withColumn("official", F.coalesce(official, F.lit(True))).withColumn("confidence", F.when(F.col("official"), 0.95).otherwise(0.70)).drop("own")
 

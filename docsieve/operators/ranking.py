@@ -7,10 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
-#: Tables up to this many rows may be sent to every executor.
-SMALL = 200_000
-
+from docsieve.operators.containment import containing
 
 def numbered(df: DataFrame, by: Sequence[str], order: Sequence[Column], name: str = "place") -> DataFrame:
     """All rows, with their place in their group."""
@@ -73,19 +70,18 @@ def early_or_best(results: DataFrame, *, request: str = "request_id", line: floa
 def autocomplete(prefixes: DataFrame, master: DataFrame, *, limit: int = 10) -> DataFrame:
     """Companies for each prefix: ticker or name equal, starting with or containing it; best tickers first.
 
-    Every prefix is tested against every company, so one side must be small: the smaller table goes to all executors
-    after a check of its size. Blank prefixes find nothing.
+    Different prefixes are looked up once among the different names and tickers, in an index of n-grams. Blank prefixes find nothing.
     """
-    asked = prefixes.where(F.trim("prefix") != "")
-    few_asked = asked.count() <= SMALL
-    if not few_asked and master.count() > SMALL:
-        raise ValueError("too many prefixes and companies to test every pair")
-    p, t, n = F.upper(F.trim("prefix")), F.upper("ticker"), F.upper("name")
+    asked = prefixes.withColumn("asked", F.upper(F.trim("prefix"))).where("asked <> ''")
+    rows = master.select("ticker", "name", F.upper("ticker").alias("t"), F.upper("name").alias("n")).distinct()
+    texts = rows.select(F.explode(F.array("t", "n")).alias("text"))
+    found = containing(asked.select(F.col("asked").alias("pattern")), texts)
+    hits = found.join(rows, F.col("text") == F.col("t")).unionByName(found.join(rows, F.col("text") == F.col("n")))
+    p, t, n = F.col("pattern"), F.col("t"), F.col("n")
     rank = F.when(t == p, 100).when(n == p, 95).when(F.startswith(t, p), 80).when(F.startswith(n, p), 75).when(F.contains(t, p), 50).when(F.contains(n, p), 40)
-    sides = (master, F.broadcast(asked)) if few_asked else (asked, F.broadcast(master))
-    hits = sides[0].join(sides[1], F.contains(n, p) | F.contains(t, p)).withColumn("score", rank)
-    one = first_by(hits, ["prefix_id", "ticker"], [F.desc("score"), F.asc("name")])
-    return top_n(one, ["prefix_id"], [F.desc("score"), F.asc("name"), F.asc("ticker")], limit, "place")
+    one = first_by(hits.withColumn("score", rank), ["pattern", "ticker"], [F.desc("score"), F.asc("name")])
+    best = top_n(one, ["pattern"], [F.desc("score"), F.asc("name"), F.asc("ticker")], limit, "place")
+    return asked.join(best.select("pattern", "ticker", "name", "score", "place"), F.col("asked") == F.col("pattern")).drop("asked", "pattern")
 
 
 def progress(events: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ SELECT o_orderkey AS request_id, company_id, name, ticker, country, host, CAST(y
     WHEN 1 THEN name || ' 10-Q ' || CAST(year(o_orderdate) AS STRING) WHEN 2 THEN ticker || ' 10-K ' || CAST(year(o_orderdate) AS STRING)
     WHEN 3 THEN name || ' q3 ' || CAST(year(o_orderdate) AS STRING) || ' earnings' WHEN 4 THEN name || ' investor presentation'
     WHEN 5 THEN name || ' (yearly report), third quarter' WHEN 6 THEN 'Proxy: ' || name || ' Bank of oil & gas' ELSE name END AS raw_query
-FROM orders CROSS JOIN (SELECT count(*) AS n FROM part) CROSS JOIN (SELECT 1 AS one) JOIN fx_company ON o_orderkey % n = company_id""",
+FROM (SELECT *, o_orderkey % (SELECT count(*) FROM part) AS company_key FROM orders) AS placed JOIN fx_company ON company_key = company_id""",
     "fx_candidate": """
 SELECT request_id, pos, name, ticker, year, 'annual_report' AS doc_type, source, http_status,
   CASE WHEN kind = 0 THEN 'https://www.' || host WHEN kind = 1 THEN 'https://ir.' || host WHEN kind = 2 THEN 'https://www.bseindia.com'
