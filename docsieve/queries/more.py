@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import functions as F
 
@@ -19,13 +20,14 @@ from docsieve.queries.core import (
 )
 from docsieve.queries.fixtures import fixture
 from docsieve.sources import providers, tables
-from docsieve.streaming import sessions
+from docsieve.streaming import ordered, sessions
 
 
 def scratch(spark, name: str) -> str:
     """A new folder for streaming state and sinks, in the shared folder where the session names one."""
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base and not spark.sparkContext.master.startswith("local"):
+    master = spark.sparkContext.master
+    if not base and not master.startswith("local[") and master != "local":
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     base = base or os.path.join(tempfile.gettempdir(), "docsieve-streams")
     return f"{base}/{name}-{uuid.uuid4().hex}"
@@ -399,3 +401,70 @@ def t08(spark, d):
     stream = stream_of(spark, d, "fx_session")
     sessions.write_results(stream, out, scratch(spark, "state")).awaitTermination()
     return spark.read.schema(stream.schema).parquet(out).select("session_id", "seq", "value")
+
+
+@contextmanager
+def timers(spark):
+    """Within it, streams start with the state store that timers need."""
+    before = spark.conf.get(ordered.STORE[0])
+    spark.conf.set(*ordered.STORE)
+    try:
+        yield
+    finally:
+        spark.conf.set(ordered.STORE[0], before)
+
+
+def ended_stream_of(spark, rows):
+    """A finite stream with a last row, of key -1, that takes the watermark beyond everything else."""
+    path = scratch(spark, "input")
+    last = rows.agg((F.max("ts") + F.expr("interval 60 days")).alias("ts")).select(*[F.col("ts") if c == "ts" else F.lit(-1).cast(t).alias(c) for c, t in rows.dtypes])
+    rows.unionByName(last).write.parquet(path)
+    return spark.readStream.schema(rows.schema).parquet(path)
+
+
+CLOSING = """
+q AS (SELECT *, epoch_us(ts) AS us, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY session_id ORDER BY ts, seq) AS quiet FROM fx_session),
+v AS (SELECT *, sum(CASE WHEN quiet >= 86400000000 THEN 1 ELSE 0 END) OVER (PARTITION BY session_id ORDER BY us, seq ROWS UNBOUNDED PRECEDING) AS visit FROM q),
+k AS (SELECT * FROM v WINDOW w AS (PARTITION BY session_id, visit ORDER BY us, seq) QUALIFY NOT coalesce(bool_or(quiet >= 14400000000 AND quiet < 86400000000) OVER w, false) AND coalesce(NOT bool_or(kind IN ('done', 'error')) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true))
+SELECT session_id, seq, kind, us, false AS synthetic FROM k UNION ALL
+SELECT session_id, NULL, 'error', max(us) + 14400000000, true FROM k GROUP BY session_id, visit HAVING NOT bool_or(kind IN ('done', 'error'))"""
+
+
+def closed_rows(df):
+    return df.where("session_id >= 0").select("session_id", "seq", "kind", F.unix_micros("ts").alias("us"), "synthetic")
+
+
+@query("t01_t02_closing_sessions", ("fx_session",), CLOSING)
+def t01_t02(spark, d):
+    return closed_rows(ordered.closing(fixture(spark, d, "fx_session"), gap="4 hours", keep="1 day"))
+
+
+@query("t01_t02_closing_sessions_stream", ("fx_session",), CLOSING)
+def t01_t02s(spark, d):
+    """Quiet sessions close by timers that the watermark sets off."""
+    with timers(spark):
+        events = ended_stream_of(spark, sessions.timed(fixture(spark, d, "fx_session")))
+        return closed_rows(drained(spark, ordered.closing_stream(events, gap="4 hours", keep="1 day"), "append"))
+
+
+CACHED = """
+c AS (SELECT session_id % 10 AS client_id, seq, epoch_us(ts) AS us FROM fx_session),
+f AS (WITH RECURSIVE m AS (SELECT client_id, min(us) AS us FROM c GROUP BY client_id UNION ALL SELECT m.client_id, min(c.us) FROM m JOIN c ON c.client_id = m.client_id AND c.us >= m.us + 86400000000 GROUP BY m.client_id)
+  SELECT client_id, us, min(seq) AS served_by FROM m JOIN c USING (client_id, us) GROUP BY client_id, us)
+SELECT c.client_id, c.seq, c.seq <> f.served_by AS hit, f.served_by FROM c ASOF JOIN f ON c.client_id = f.client_id AND c.us >= f.us"""
+
+
+def calls_of(spark, d):
+    return sessions.timed(fixture(spark, d, "fx_session")).select((F.col("session_id") % 10).alias("client_id"), "seq", "ts")
+
+
+@query("t05_cached_calls", ("fx_session",), CACHED)
+def t05_cached(spark, d):
+    return ordered.cached(calls_of(spark, d)).select("client_id", "seq", "hit", "served_by")
+
+
+@query("t05_cached_calls_stream", ("fx_session",), CACHED)
+def t05_cached_s(spark, d):
+    with timers(spark):
+        found = drained(spark, ordered.cached_stream(ended_stream_of(spark, calls_of(spark, d))), "append")
+    return found.where("client_id >= 0").select("client_id", "seq", "hit", "served_by")

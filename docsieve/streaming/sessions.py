@@ -25,16 +25,21 @@ def until_closed(events: DataFrame) -> DataFrame:
 
 
 def until_closed_stream(events: DataFrame) -> DataFrame:
-    """Stream: the same, with one closed flag of state per session; input in order of time within a session."""
+    """Stream: the same, with one closed flag of state per session; input in order of time within a session.
+
+    ``ordered.closing_stream`` takes input in any order and lets quiet sessions go.
+    """
 
     def step(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches)).sort_values(["ts", "seq"])
-        if state.exists and state.get[0]:
-            return
-        ends = rows["kind"].isin(TERMINAL).to_numpy()
-        last = int(ends.argmax()) if ends.any() else len(rows) - 1
-        state.update((bool(ends.any()),))
-        yield rows.iloc[: last + 1][["session_id", "seq", "kind", "ts"]]
+        closed = state.exists and state.get[0]
+        for rows in batches:  # each is given on before the next is read
+            if closed:
+                break
+            ends = rows.sort_values(["ts", "seq"])["kind"].isin(TERMINAL).to_numpy()
+            closed = bool(ends.any())
+            last = int(ends.argmax()) if closed else len(rows) - 1
+            yield rows.sort_values(["ts", "seq"]).iloc[: last + 1][["session_id", "seq", "kind", "ts"]]
+        state.update((closed,))
 
     picked = timed(events).select("session_id", "seq", "kind", "ts")
     return picked.groupBy("session_id").applyInPandasWithState(step, "session_id long, seq long, kind string, ts timestamp", "closed boolean", "append", "NoTimeout")
@@ -59,11 +64,6 @@ def over_limit(calls: DataFrame, *, most: int = 10, window: str = "1 minute", la
     return out.select("client_id", F.col("w.start").alias("minute"), "calls", (F.col("calls") > most).alias("limited"))
 
 
-def first_in_a_day(calls: DataFrame, *, key: str = "client_id", hours: int = 24) -> DataFrame:
-    """Stream: a key's calls that find nothing cached: the first within 24 hours."""
-    return timed(calls).withWatermark("ts", f"{hours} hours").dropDuplicatesWithinWatermark([key])
-
-
 def newest_snapshot(asked: DataFrame, snapshots: DataFrame, *, hours: int = 24) -> DataFrame:
     """Batch: for each request the newest snapshot at most 24 hours older. ``snapshots (snapshot_id, taken_at)``, a row a day."""
     age = F.col("taken_at").between(F.col("asked_at") - F.expr(f"interval {hours} hours"), F.col("asked_at"))
