@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docsieve.functions import rules, scoring
-from docsieve.operators import ranking
+from docsieve.operators import crawl, ranking
 from docsieve.queries.core import PREPARED, YEAR_POINTS, candidates, m, query
 from docsieve.queries.fixtures import fixture
 from docsieve.queries.more import scratch
 from docsieve.sources import tables
+from docsieve.sources.store import UserTable
 
 
 @query("f04_subsidiary_paths", ("fx_candidate",), """
@@ -49,7 +50,7 @@ def r12(spark, d):
 @query("s02_page_source", (), "SELECT page_id, url, length(html) AS size FROM pages WHERE page_id % 5 <> 2 AND url NOT LIKE '%.pdf'")
 def s02(spark, d):
     pages = spark.read.parquet(f"{d}/pages.parquet").withColumn("status", F.when(F.col("page_id") % 5 == 2, 404).otherwise(200))
-    return pages.where((F.col("status") == 200) & ~F.endswith("url", F.lit(".pdf"))).select("page_id", "url", F.length("html").cast("long").alias("size"))
+    return crawl.fetched(pages).select("page_id", "url", F.length("html").cast("long").alias("size"))
 
 
 @query("s08_rule_dimensions", (), "SELECT * FROM (VALUES " + ", ".join(f"('{s}', {i}, '{w}', {j})" for i, (s, ws) in enumerate(rules.SECTORS.items()) for j, w in enumerate(ws)) + ") AS t(sector, sector_rank, keyword, ord) WHERE EXISTS (SELECT 1 FROM part WHERE contains(lower(p_name || ' ' || p_type), left(keyword, 2)))")
@@ -66,8 +67,22 @@ def s09(spark, d):
     path = scratch(spark, "history")
     rows = fixture(spark, d, "fx_history").select("user_id", "search_id", "raw_query")
     tables.append_history(rows, path)
+    tables.append_history(rows, path, key="again")
+    tables.append_history(rows, path, key="again")
+    return UserTable(spark, path).read().groupBy("user_id", "search_id", "raw_query").agg(F.count("*").cast("int").alias("copies"))
+
+
+@query("s12_cleared_store", ("fx_history",), """
+SELECT user_id, search_id, (SELECT count(*) FROM fx_history WHERE user_id % 3 = 0) AS n_cleared, (SELECT count(*) FROM fx_history WHERE user_id % 3 = 1 AND search_id % 2 = 0) AS n_deleted
+FROM fx_history WHERE user_id % 3 = 2 OR (user_id % 3 = 1 AND search_id % 2 = 1)""")
+def s12_store(spark, d):
+    """Every third user's history is cleared and single rows of others are deleted, in the store; what stays is read back."""
+    path = scratch(spark, "history")
+    rows = fixture(spark, d, "fx_history").select("user_id", "search_id")
     tables.append_history(rows, path)
-    return spark.read.parquet(path).groupBy("user_id", "search_id", "raw_query").agg(F.count("*").cast("int").alias("copies"))
+    cleared = tables.clear_user(path, rows.where("user_id % 3 = 0"))
+    deleted = tables.delete_items(path, rows.where("user_id % 3 = 1 and search_id % 2 = 0"))
+    return UserTable(spark, path).read().select("user_id", "search_id", F.lit(cleared).cast("long").alias("n_cleared"), F.lit(deleted).cast("long").alias("n_deleted"))
 
 
 @query("s10_library_sink", ("fx_request",), "SELECT user_id, request_id, CASE WHEN request_id % 2 = 0 THEN country ELSE '' END AS country, '' AS source, 0.0::DOUBLE AS score FROM fx_request")
@@ -77,7 +92,7 @@ def s10(spark, d):
     items = fixture(spark, d, "fx_request").select("user_id", k, F.when(k % 2 == 0, F.col("country")).alias("country"), F.lit(None).cast("string").alias("source"), F.lit(None).cast("string").alias("confidence"),
                                                    F.lit(None).cast("string").alias("sector"), F.lit(None).cast("double").alias("score"))
     tables.append_library(items, path)
-    return spark.read.parquet(path).select("user_id", "request_id", "country", "source", "score")
+    return UserTable(spark, path).read().select("user_id", "request_id", "country", "source", "score")
 
 
 @query("u04_query_sets", ("fx_candidate",), """

@@ -50,6 +50,13 @@ SELECT url, min(http_status) AS head_status, CASE WHEN length(url) % 4 = 0 THEN
 FROM fx_candidate GROUP BY url""",
     "fx_history": """
 SELECT user_id, request_id AS search_id, o_orderdate AS fetched_at, raw_query FROM fx_request JOIN orders ON o_orderkey = request_id""",
+    "fx_page": """
+SELECT o_orderkey AS page_id, CASE WHEN o_orderkey % 11 = 0 THEN 404 ELSE 200 END AS status,
+  site || CASE WHEN o_orderkey < 97 THEN '/reports' WHEN o_orderkey < 194 THEN '/investors' WHEN o_orderkey < 291 THEN '/archive' ELSE '/p' || CAST(o_orderkey AS STRING) END AS url,
+  '<p><a href="/p' || CAST(o_orderkey + 97 AS STRING) || '">Investor centre</a> <a href=/p0>none</a> <a class="x" href="http://other.example.org/investors">Investors</a> <a href="/p' || CAST(o_orderkey - 291 AS STRING) || '">Quarterly</a>'
+    || CASE WHEN o_orderkey % 5 = 0 THEN '<A HREF="files/r' || CAST(o_orderkey % 7 AS STRING) || '.pdf"><b>The</b> file</A>' ELSE '<a href="/news">News</a>' END
+    || CASE WHEN o_orderkey % 3 = 0 THEN '<a href="/p' || CAST(o_orderkey + 970 AS STRING) || '">Shareholder letters</a><a href="">Filings</a>' ELSE '' END AS html
+FROM (SELECT o_orderkey, 'http://h' || CAST(o_orderkey % 97 AS STRING) || '.example.com' AS site FROM orders) AS sites""",
     "fx_session": """
 SELECT user_id AS session_id, event_id AS seq, CASE event_type WHEN 'purchase' THEN 'result' WHEN 'error' THEN 'error' WHEN 'signup' THEN 'done' ELSE 'status' END AS kind, ts, value FROM events""",
     "fx_feedback": """

@@ -12,11 +12,11 @@ from pyspark.sql import functions as F
 from docsieve.functions import requests as rq
 from docsieve.functions import rules, scoring
 from docsieve.functions.text import any_of, bare_host, host
-from docsieve.operators import links, ranking
+from docsieve.operators import crawl, links, ranking
 from docsieve.operators import requests as req
 from docsieve.plans import waterfall as plan
 from docsieve.queries.core import (
-    ACRONYM_SQL, HOST_SQL, PASSING, RANKED, SCORED, TOKENS_SQL, TYPE_SQL, YEAR_SQL, m, query, ranked,
+    ACRONYM_SQL, ANCHORS, HOST_SQL, PASSING, RANKED, SCORED, TOKENS_SQL, TYPE_SQL, YEAR_SQL, m, query, ranked,
 )
 from docsieve.queries.fixtures import fixture
 from docsieve.sources import providers, tables
@@ -468,3 +468,34 @@ def t05_cached_s(spark, d):
     with timers(spark):
         found = drained(spark, ordered.cached_stream(ended_stream_of(spark, calls_of(spark, d))), "append")
     return found.where("client_id >= 0").select("client_id", "seq", "hit", "served_by")
+
+
+# --- crawls -------------------------------------------------------------------------------------------------------
+
+PATHS = ", ".join(f"({i}, '{p}')" for i, p in enumerate(crawl.ARCHIVE_PATHS))
+REACHED = "have AS (SELECT page_id, url, html FROM fx_page WHERE status = 200 AND NOT suffix(lower(url), '.pdf'))," + ANCHORS.replace("FROM pages", "FROM have") + f""",
+docs AS (SELECT page_id, url, pos, text, link FROM c WHERE contains(lower(href), 'pdf') OR {m('lower(href)', rules.ANNUAL_HREF)} OR {m('lower(text)', rules.ANNUAL_TEXT)} OR (contains(lower(text), 'report') AND contains(lower(href), 'download'))),
+one AS (SELECT page_id, url, link, pos FROM c WHERE regexp_extract(link, '^[a-z]+://([^/?#:]*)', 1) = regexp_extract(url, '^[a-z]+://([^/?#:]*)', 1) AND link <> url AND {m("lower(link || ' ' || text)", rules.FINANCE_PAGE)} QUALIFY row_number() OVER (PARTITION BY page_id, link ORDER BY pos) = 1),
+linked AS (SELECT page_id, url, link, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS place FROM one QUALIFY place <= 5),
+usual AS (SELECT page_id, url, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) || path AS link, 6 + i AS place FROM have, (VALUES {PATHS}) AS p(i, path)),
+e AS (SELECT url AS src, link AS dst FROM (SELECT * FROM (SELECT * FROM linked UNION ALL SELECT * FROM usual WHERE link <> url) QUALIFY row_number() OVER (PARTITION BY page_id, link ORDER BY place) = 1) WHERE page_id NOT IN (SELECT page_id FROM docs)
+  QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY place) <= 12),
+reached AS (WITH RECURSIVE r AS (SELECT url AS root, url, 0 AS depth FROM have UNION SELECT r.root, e.dst, r.depth + 1 FROM r JOIN e ON e.src = r.url JOIN have ON have.url = e.dst WHERE r.depth < 3)
+  SELECT root, url, CAST(min(depth) AS INT) AS depth FROM r GROUP BY root, url)"""
+
+
+def reached(spark, d):
+    pages = fixture(spark, d, "fx_page")
+    return crawl.in_reach(pages.select(F.col("url").alias("root"), "url"), pages, depth=3), pages
+
+
+@query("s02_l03_pages_in_reach", ("fx_page",), REACHED + " SELECT root, url, depth FROM reached")
+def s02_l03(spark, d):
+    """Three hops from every page."""
+    return reached(spark, d)[0]
+
+
+@query("s02_l03_documents_in_reach", ("fx_page",), REACHED + """
+SELECT root, depth, link, text FROM reached JOIN docs USING (url) QUALIFY row_number() OVER (PARTITION BY root, link ORDER BY depth, url, pos) = 1""")
+def s02_l03_documents(spark, d):
+    return crawl.documents_in_reach(*reached(spark, d))

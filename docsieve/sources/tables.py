@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-from datetime import datetime
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 64
+from docsieve.sources.store import UserTable
 
 
 def checked_requests(batch: DataFrame, *, this_year: int, most: int = 50) -> DataFrame:
@@ -21,13 +18,9 @@ def checked_requests(batch: DataFrame, *, this_year: int, most: int = 50) -> Dat
     return batch.withColumn("reject", why)
 
 
-def bucketed(rows: DataFrame, *, user: str = "user_id") -> DataFrame:
-    return rows.withColumn("user_bucket", F.pmod(F.xxhash64(user), F.lit(BUCKETS)).cast("int"))
-
-
-def append_history(results: DataFrame, path: str) -> None:
-    """Appends results with the time of writing, in folders by user bucket."""
-    bucketed(results.withColumn("fetched_at", F.current_timestamp())).write.mode("append").partitionBy("user_bucket").parquet(path)
+def append_history(results: DataFrame, path: str, *, key: str | None = None) -> DataFrame:
+    """Appends results with the time of writing to the user table in ``path``; a call with the ``key`` of an earlier one adds nothing."""
+    return UserTable(results.sparkSession, path).append(results.withColumn("fetched_at", F.current_timestamp()), key=key)
 
 
 def library_rows(items: DataFrame) -> DataFrame:
@@ -36,17 +29,23 @@ def library_rows(items: DataFrame) -> DataFrame:
     return items.na.fill(defaults).na.fill({"score": 0.0})
 
 
-def append_library(items: DataFrame, path: str) -> DataFrame:
-    """Appends the items and returns them with their new ids.
+def append_library(items: DataFrame, path: str, *, key: str | None = None) -> DataFrame:
+    """Appends the items to the user table in ``path`` and returns them as written, each with an id of its own.
 
-    An id is made of the item and one number of the call, so a task that runs again makes the same one; items equal in
-    every column share it.
+    A call with the ``key`` of an earlier one adds nothing.
     """
-    call, rows = uuid.uuid4().hex, library_rows(items)
-    made = F.sha2(F.concat(F.lit(call), F.to_json(F.struct(*rows.columns))), 256)
-    saved = rows.withColumns({"item_id": made, "saved_at": F.lit(datetime.now())})
-    bucketed(saved).write.mode("append").partitionBy("user_bucket").parquet(path)
-    return saved
+    made = library_rows(items).withColumns({"item_id": F.uuid(), "saved_at": F.current_timestamp()})
+    return UserTable(items.sparkSession, path).append(made, key=key)
+
+
+def clear_user(path: str, users: DataFrame) -> int:
+    """Deletes all rows of the users from the table in ``path``; gives their number."""
+    return UserTable(users.sparkSession, path).delete(users.select("user_id"))
+
+
+def delete_items(path: str, keys: DataFrame) -> int:
+    """Deletes the rows with these users and ids; gives their number. A row of another user stays, whatever its id."""
+    return UserTable(keys.sparkSession, path).delete(keys)
 
 
 def feedback_rows(items: DataFrame, *, longest: int = 500) -> DataFrame:

@@ -11,6 +11,7 @@ from docsieve.functions.text import absolute
 from docsieve.operators import links, matching, ranking
 from docsieve.operators import requests as req
 from docsieve.sources import providers, tables
+from docsieve.sources.store import UserTable
 
 SCHEMA = "url string, name string, year int, doc_type string, ir_url string, head_status int, content_type string"
 CASES = [
@@ -132,11 +133,11 @@ def test_sinks(spark, tmp_path):
     rows = spark.createDataFrame([(1, "u"), (2, "v")], "user_id long, url string")
     tables.append_history(rows, f"{tmp_path}/h")
     tables.append_history(rows, f"{tmp_path}/h")
-    assert spark.read.parquet(f"{tmp_path}/h").count() == 4
-    items = spark.createDataFrame([(1, None, None, None, None, None)], "user_id long, source string, confidence string, country string, sector string, score double")
-    tables.append_library(items, f"{tmp_path}/l")
-    saved = spark.read.parquet(f"{tmp_path}/l").first()
-    assert (saved["source"], saved["score"]) == ("", 0.0) and len(saved["item_id"]) == 36
+    assert UserTable(spark, f"{tmp_path}/h").read().count() == 4
+    items = spark.createDataFrame([(1, None, None, None, None, None)] * 2, "user_id long, source string, confidence string, country string, sector string, score double")
+    saved = tables.append_library(items, f"{tmp_path}/l").collect()
+    assert {(r["source"], r["score"], len(r["item_id"])) for r in saved} == {("", 0.0, 36)}
+    assert len({r["item_id"] for r in saved}) == 2 == len({r["item_id"] for r in saved} & {r["item_id"] for r in UserTable(spark, f"{tmp_path}/l").read().collect()})
 
 
 def test_fuzzy_lookup_needs_the_first_word(spark):
