@@ -37,17 +37,6 @@ def filing_request(requests: DataFrame, master: DataFrame, *, text: str = "raw_q
     return df.join(known, F.col("asked ticker") == F.col("found_ticker"), "left").drop("asked ticker")
 
 
-def search_plan(requests: DataFrame, templates: DataFrame) -> DataFrame:
-    """``request_id, ord, query``: every request's templates of its region and of all regions, filled in, each text once.
-
-    ``templates (region, ord, text)`` holds ``{name} {year} {nyear} {yy}``.
-    """
-    filled = requests.withColumn("region", rq.region(F.col("name"), F.col("country"))).join(F.broadcast(templates.withColumnRenamed("region", "for")), (F.col("for") == F.col("region")) | (F.col("for") == "all"))
-    values = {"{name}": F.col("name"), "{year}": F.col("year").cast("string"), "{nyear}": (F.col("year") + 1).cast("string"), "{yy}": F.substring(F.col("year").cast("string"), 3, 2)}
-    text = reduce(lambda t, kv: F.replace(t, F.lit(kv[0]), kv[1]), values.items(), F.col("text"))
-    return filled.withColumn("query", text).groupBy("request_id", "query").agg(F.min("ord").alias("ord"))
-
-
 def subdomain_variants(entities: DataFrame, *, url: str = "ir_url", names: tuple[str, ...] = ("ir", "investors", "investor", "static", "cdn", "assets", "media", "www")) -> DataFrame:
     """Rows of ``variant``: the site's base domain under each name, without the host itself."""
     from docsieve.functions.text import host

@@ -127,24 +127,6 @@ def p11(spark, d):
     return style("report", rq.YEAR_FORMS).unionByName(style("india", rq.INDIAN_YEAR_FORMS))
 
 
-#: Templates of search texts: region, order, text.
-TEMPLATES = (
-    ("all", 1, '"{name}" annual report {year} filetype:pdf'), ("all", 2, "{name} annual report {year} pdf"), ("all", 3, "{name} investor relations {year}"),
-    ("india", 4, "{name} annual report {year}-{yy} pdf"), ("india", 5, "site:bseindia.com {name} {nyear}"), ("uae", 4, "site:dfm.ae {name} {year}"), ("uae", 5, "{name} annual report {year} pdf"),
-)
-_TEMPLATE_ROWS = ", ".join(f"('{r}', {o}, '{t}')" for r, o, t in TEMPLATES)
-
-
-@query("p12_search_plan", ("fx_request",), f"""
-templates AS (SELECT * FROM (VALUES {_TEMPLATE_ROWS}) AS t(for_region, ord, text)),
-filled AS (SELECT request_id, ord, replace(replace(replace(replace(text, '{{name}}', name), '{{year}}', year::VARCHAR), '{{nyear}}', (year + 1)::VARCHAR), '{{yy}}', substr(year::VARCHAR, 3, 2)) AS query
-  FROM (SELECT *, {REGION_SQL} AS region FROM fx_request) JOIN templates ON for_region = region OR for_region = 'all')
-SELECT request_id, query, min(ord) AS ord FROM filled GROUP BY ALL""")
-def p12(spark, d):
-    templates = spark.createDataFrame(TEMPLATES, "region string, ord int, text string")
-    return req.search_plan(fixture(spark, d, "fx_request"), templates)
-
-
 @query("p14_subdomain_variants", ("fx_company",), """
 names AS (SELECT unnest(['ir', 'investors', 'investor', 'static', 'cdn', 'assets', 'media', 'www']) AS sub)
 SELECT company_id, 'https://' || sub || '.' || host AS variant FROM fx_company, names WHERE sub <> 'www'""")
