@@ -1,10 +1,10 @@
 """Licence scans by a generalised suffix automaton of licence tokens.
 
 All templates and base phrases go into one automaton. Streaming a file through it gives matching
-statistics: at each word, the longest stretch ending there that occurs in some template. Matches of
-``min_match`` words or more, or of a whole shorter template, are chained in order along each template at all places
-where the template has them; the share of a template's words that its best chain covers decides about the labels
-that the method adds.
+statistics: at each word, the longest stretch ending there that occurs in some template, and by suffix links the
+longest one of every template. Matches of ``min_match`` words or more, or of a whole shorter template, are chained in order along each
+template; the share of a template's words that its best chain covers decides about the labels that the method adds. Where
+templates of several labels cover the same words, as variants of one licence do, the best covered one has them.
 
 Scale: map-only; the automaton is a fixed table of a few thousand states.
 """
@@ -139,53 +139,64 @@ class Scanner:
     def scan(self, text: bytes | None) -> tuple:
         words = alnum_words(text)
         ids = np.fromiter(map(self.words.get, words, _zeros), np.int64, len(words))
-        base, long = [], []
+        base, matches = [], {}
         known = np.flatnonzero(np.diff(np.concatenate([[0], (ids > 0).view(np.int8), [0]])))
-        a = self.automaton
         for start, end in zip(known[::2].tolist(), known[1::2].tolist(), strict=True):
-            if end - start < self.shortest:
-                continue
-            state = matched = 0
-            for at in range(start, end):
-                before = state, matched
-                state, matched = a.step(state, matched, int(ids[at]))
-                if before[1] >= self.shortest and matched <= before[1]:
-                    long.append((at - 1, *before))
-                for i in self.phrase_at[state]:
-                    if matched >= len(self.phrases[i][1]):
-                        base.append((at - len(self.phrases[i][1]) + 1, self.phrases[i][0]))
-            if matched >= self.shortest:
-                long.append((end - 1, state, matched))
-        covered = self.chains(long)
-        strong = [c for c in covered if c[3] >= self.min_cover]
+            if end - start >= self.shortest:
+                self.run(ids[start:end].tolist(), start, base, matches)
+        covered = self.chains(matches)
+        strong = self.winners([c for c in covered if c[3] >= self.min_cover])
         base_labels = sorted({label for _, label in base})
         labels = sorted({*base_labels, *(c[0] for c in strong)})
         starts = [at for at, _ in base]
         score = max([1.0 if base else 0.0, *(c[3] for c in covered)])
         return (len(words), len(base), min(starts, default=None), max(starts, default=None), ",".join(base_labels), ",".join(labels), score,
-                [dict(zip(("label", "first_word", "last_word", "coverage"), c, strict=True)) for c in covered])
+                [dict(zip(("label", "first_word", "last_word", "coverage"), c[:4], strict=True)) for c in covered])
+
+    def run(self, ids: list[int], start: int, base: list, matches: dict[int, list[tuple[int, int, int]]]) -> None:
+        """Adds the phrases and the matches of a run of known words: by template ``(end in the text, end in the template, words)``.
 
-    def chains(self, long: list[tuple[int, int, int]]) -> list[tuple[str, int, int, float]]:
-        """The best chain of each template: its words in the text and the share of the template that it covers.
+        At every place the state and its suffix links have all ends of what matches there in each template. A match is
+        taken where the next word does not make it longer in that template, whether or not another one goes on.
+        """
+        a, state, matched = self.automaton, 0, 0
+        for i, word in enumerate(ids):
+            state, matched = a.step(state, matched, word)
+            for k in self.phrase_at[state]:
+                if matched >= len(self.phrases[k][1]):
+                    base.append((start + i - len(self.phrases[k][1]) + 1, self.phrases[k][0]))
+            after = ids[i + 1] if i + 1 < len(ids) else 0
+            v, n = state, matched
+            seen = set()
+            while v > 0 and n >= self.shortest:
+                for sequence, ends in a.ends[v].items():
+                    if sequence < len(self.templates) and n >= self.least[sequence]:
+                        words = self.templates[sequence][1]
+                        for end in ends:
+                            if (sequence, end) not in seen and (end + 1 == len(words) or words[end + 1] != after):
+                                matches.setdefault(sequence, []).append((start + i, end, n))
+                            seen.add((sequence, end))
+                v = a.link[v]
+                n = a.length[v]
+
+    def chains(self, matches: dict[int, list[tuple[int, int, int]]]) -> list[tuple[str, int, int, float, int]]:
+        """The best chain of each template: its first and last word in the text, the share of the template that it covers, and how many words.
 
         A chain's matches move on in the text and in the template, with at most ``max_gap`` words of the text between
-        two of them; of matches that overlap only what is new counts. A match's shorter endings are matches as well.
+        two of them; of matches that overlap only what is new counts.
         """
-        by: dict[int, list[tuple[int, int, int]]] = {}
-        for at, state, matched in long:
-            while state > 0 and matched >= self.shortest:
-                for sequence, ends in self.automaton.ends[state].items():
-                    if sequence < len(self.templates) and matched >= self.least[sequence]:
-                        by.setdefault(sequence, []).extend((at, end, matched) for end in ends)
-                state = self.automaton.link[state]
-                matched = self.automaton.length[state]
         out = []
-        for sequence, spans in sorted(by.items()):
+        for sequence, spans in sorted(matches.items()):
             label, words = self.templates[sequence]
             covered, first, last = best_chain(spans, self.max_gap)
-            out.append((label, first, last, covered / len(words)))
+            out.append((label, first, last, covered / len(words), covered))
         return out
 
+    @staticmethod
+    def winners(chains: list[tuple[str, int, int, float, int]]) -> list[tuple[str, int, int, float, int]]:
+        """The chains that no better one of another label overlaps, by share and then by words: variants of a text differ in a word or two."""
+        return [c for c in chains if not any(d[0] != c[0] and d[3:] > c[3:] and d[1] <= c[2] and c[1] <= d[2] for d in chains)]
+
 
 def best_chain(spans: list[tuple[int, int, int]], max_gap: int) -> tuple[int, int, int]:
     """Words covered, first and last word in the text of the best chain of ``(end in the text, end in the template, words)``.
@@ -227,7 +238,7 @@ def license_scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 
     A null or empty text has no words, no labels and score 0. Every input row gives one row, repeated rows
     too; other columns are ignored. ``labels`` has the base labels and those of templates of whose words a
-    chain of matches covers ``min_cover`` or more; ``score`` is 1 with a base phrase, else the largest cover.
+    chain of matches covers ``min_cover`` or more, unless it overlaps with a chain of another label that covers more; ``score`` is 1 with a base phrase, else the largest cover.
     """
     kind = dict(docs.dtypes)[id_col]
     names = [x.split(" ")[0] for x in SCHEMA.split(", ")]

@@ -399,3 +399,53 @@ def test_items_digest(spark):
     listed = F.array_join(F.array_sort(F.transform("items", lambda i: i.cast("string"))), ",")
     got = spark.createDataFrame([([2, 10],), ([],)], "items array<long>").select(F.sha2(listed, 256)).collect()
     assert [r[0] for r in got] == [hashlib.sha256(x).hexdigest() for x in (b"10,2", b"")]
+
+
+def test_template_matches_against_all_places():
+    rng = random.Random(21)
+    for _ in range(60):
+        templates = tuple((f"t{i}", " ".join(rng.choices("pqrs", k=rng.randint(2, 9)))) for i in range(4))
+        templates += (("prefix", " ".join(templates[0][1].split()[:3])),)
+        scanner = license_scan.Scanner(templates=templates, phrases=(("r s", "x"),), min_match=3)
+        text = rng.choices("pqrsz", k=80)
+        want = set()
+        for k, (_, words) in enumerate(templates):
+            t = words.split()
+            for at in range(len(text)):
+                for end in range(len(t)):
+                    n = 0
+                    while n <= min(at, end) and text[at - n] == t[end - n]:
+                        n += 1
+                    longer = at + 1 < len(text) and end + 1 < len(t) and text[at + 1] == t[end + 1]
+                    if n >= min(3, len(t)) and not longer:
+                        want.add((k, at, end, n))
+        got, base, start = {}, [], 0
+        ids = [scanner.words.get(w.encode(), 0) for w in text]
+        for known, part in itertools.groupby(ids, bool):
+            part = list(part)
+            if known:
+                scanner.run(part, start, base, got)
+            start += len(part)
+        found = [(k, *m) for k, ms in got.items() for m in ms]
+        assert len(found) == len(set(found)) and set(found) == want
+        assert sorted(at for at, _ in base) == [i for i in range(79) if text[i : i + 2] == ["r", "s"]]
+
+
+def test_variants_of_a_licence():
+    scanner = license_scan.Scanner()
+    labels = lambda text: scanner.scan(text.encode())[5]
+    own = {text: label for label, text in license_scan.TEMPLATES}
+    for text, label in own.items():
+        base = {base for phrase, base in license_scan.PHRASES if phrase in " ".join(alnum(text))}
+        assert set(labels(f"before {text} after").split(",")) == {label, *base}
+    lesser = "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1"
+    assert labels(lesser) == "gpl,lgpl" == labels(lesser.replace("library", "program"))
+    assert labels("This work is licensed under a Creative Commons Attribution-NonCommercial 2.0 Generic License.") == "cc-by-nc"
+    both = lesser + " " + "x " * 40 + next(t for label, t in license_scan.TEMPLATES if label == "agpl")
+    assert labels(both) == "agpl,gpl,lgpl"
+
+
+def test_a_template_within_a_longer_one():
+    scanner = license_scan.Scanner(templates=(("a", "one two three four five six"), ("b", "one two three four five six seven eight nine ten")), phrases=(("x y", "x"),))
+    covered = {c["label"]: c["coverage"] for c in scanner.scan(b"say one two three four five six seven eight end")[7]}
+    assert covered == {"a": 1.0, "b": 0.8}
