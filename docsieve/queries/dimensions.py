@@ -10,8 +10,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from docsieve.functions import dimensions as dim
-from docsieve.operators import markets
+from docsieve.operators import markets, resolution
 from docsieve.queries.core import query
+from docsieve.queries.entities import COUNTRY_SQL
 from docsieve.queries.fixtures import fixture
 
 HOST = "lower(regexp_extract({u}, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1))"
@@ -115,3 +116,45 @@ def s08_markets(spark, d):
     single = table.select("country", pairs).select("country", "p.exchange", "p.site")
     return fixture(spark, d, "fx_company").select("company_id", "country").join(F.broadcast(single), "country").select("company_id", "country", "exchange", "site")
 
+
+#: Partial answers of a register, a symbol search, profiles and site searches, by the number of the request or company.
+REGISTERED = f"""
+reg AS (SELECT request_id, {texts([*CODES, ''])}[request_id % {len(CODES) + 1} + 1] AS code, CASE WHEN request_id % 4 = 0 THEN (500000 + company_id)::VARCHAR WHEN request_id % 9 = 0 THEN 'SABIC' ELSE ticker END AS ticker, 'X' || request_id AS isin, CASE WHEN request_id % 5 = 0 THEN '' ELSE upper(name) END AS listed_name FROM fx_request WHERE request_id % 3 <> 0),
+mat AS (SELECT request_id, {texts(NAMED)}[request_id % {len(NAMED)} + 1] AS exchange, ticker AS symbol, name || ' found' AS description FROM fx_request WHERE request_id % 2 = 0),
+pro AS (SELECT ticker, CASE WHEN company_id % 5 = 0 THEN '' ELSE country END AS profile_country, CASE WHEN company_id % 4 = 0 THEN '' ELSE {ADDRESS.replace('request_id', 'company_id')} END AS website FROM fx_company WHERE company_id % 3 = 1),
+st AS (SELECT request_id, {ADDRESS.replace('request_id', '(request_id + 1)')} AS url FROM fx_request WHERE request_id % 5 < 2), sn AS (SELECT request_id, {ADDRESS.replace('request_id', '(request_id + 2)')} AS url FROM fx_request WHERE request_id % 7 < 3), sc AS (SELECT request_id, 'https://country.example' AS url FROM fx_request WHERE request_id % 2 = 0)"""
+
+
+def bad_sql(url: str) -> str:
+    fault = FAULT.replace("suffix(bare", "suffix(\x01").replace("contains(bare", "contains(\x01").replace("bare = e", "\x01 = e").replace("(site,", "(\x02,")
+    return "coalesce(" + fault.replace("(url)", f"({url})").replace("\x01", f"regexp_replace({HOST.format(u=url)}, '^[w.]+', '')").replace("\x02", HOST.format(u=url)) + ", 'section') <> 'section'"
+
+
+@query("r10_resolved_entities", ("fx_request",), REGISTERED + f""",
+a AS (SELECT q.request_id, q.name, q.year, nullif(reg.code, '') AS code, reg.ticker AS listed_ticker, reg.isin, CASE WHEN reg.request_id IS NOT NULL THEN trim(coalesce(nullif(reg.listed_name, ''), q.name)) END AS listed_name, mat.exchange, mat.symbol, mat.description, mat.request_id IS NOT NULL AND nullif(reg.code, '') IS NULL AS searched
+  FROM (SELECT request_id, {texts(COMPANIES)}[request_id % {len(COMPANIES) * 2} + 1] AS known_name, coalesce(known_name, name) AS name, year FROM fx_request) q LEFT JOIN reg USING (request_id) LEFT JOIN mat USING (request_id)),
+b AS (SELECT *, coalesce(listed_ticker, CASE WHEN searched THEN symbol END) AS ticker, coalesce(listed_name, CASE WHEN searched THEN description END) AS normalized, CASE WHEN searched THEN {case(dim.EXCHANGE_NAMES, "contains(upper(exchange), '{k}')")} END AS found_mic FROM a),
+c AS (SELECT b.*, pro.website, {case(dim.TICKER_COUNTRY, "upper(b.ticker) = '{k}'", "NULL")} AS c0, nullif(profile_country, '') AS c1, {case(dim.CODE_COUNTRY, "code = '{k}'", "NULL")} AS c2, nullif({COUNTRY_SQL}, '') AS c3 FROM b LEFT JOIN pro USING (ticker)),
+d AS (SELECT *, coalesce(c0, c1, c2, c3) AS land, CASE WHEN c0 IS NOT NULL THEN 'override' WHEN c1 IS NOT NULL THEN 'profile' WHEN c2 IS NOT NULL THEN 'exchange code' WHEN c3 IS NOT NULL THEN 'name' ELSE '' END AS country_source FROM c),
+e AS (SELECT *, coalesce({case(dim.COUNTRY_MARKET, "land = '{k}'")}, '') AS usual, replace({case(dim.KNOWN_PAGES, "contains(lower(trim(name)), '{k}')")}, '{{year}}', year::VARCHAR) AS known, ticker IS NOT NULL AND NOT regexp_matches(ticker, '^[0-9]+$') AS words FROM d),
+f AS (SELECT e.*, st.url AS u0, sn.url AS u1, sc.url AS u2, CASE WHEN known <> '' THEN 'known' WHEN website <> '' THEN 'profile' WHEN words AND st.url IS NOT NULL THEN 'found by ticker' WHEN sn.url IS NOT NULL THEN 'found by name' WHEN land IS NOT NULL AND sc.url IS NOT NULL THEN 'found by country' ELSE '' END AS how
+  FROM e LEFT JOIN st USING (request_id) LEFT JOIN sn USING (request_id) LEFT JOIN sc USING (request_id)),
+g AS (SELECT *, CASE how WHEN 'known' THEN known WHEN 'profile' THEN website WHEN 'found by ticker' THEN u0 WHEN 'found by name' THEN u1 WHEN 'found by country' THEN u2 ELSE '' END AS page FROM f),
+h AS (SELECT *, page <> '' AND {bad_sql('page')} AS bad, words AND u0 IS NOT NULL AND NOT {bad_sql('u0')} AS good0, u1 IS NOT NULL AND NOT {bad_sql('u1')} AS good1 FROM g)
+SELECT request_id, coalesce(normalized, '') AS normalized_name, coalesce(land, '') AS country, country_source, coalesce(code, nullif(found_mic, ''), usual) AS exchange_mic, CASE WHEN code IS NOT NULL THEN 'register' WHEN found_mic <> '' THEN 'search' WHEN usual <> '' THEN 'country' ELSE '' END AS mic_source,
+  coalesce(ticker, '') AS ticker, coalesce(isin, '') AS isin, CASE WHEN NOT bad THEN page WHEN good0 THEN u0 WHEN good1 THEN u1 ELSE '' END AS ir_url, CASE WHEN NOT bad THEN how WHEN good0 THEN 'found by ticker' WHEN good1 THEN 'found by name' ELSE '' END AS ir_source,
+  CASE WHEN code = 'IB' AND regexp_matches(listed_ticker, '^[0-9]+$') THEN listed_ticker ELSE '' END AS bse_scripcode, CASE WHEN code IN ('IN', 'NS') AND NOT regexp_matches(listed_ticker, '^[0-9]+$') THEN listed_ticker ELSE '' END AS nse_symbol FROM h""")
+def r10_resolved(spark, d):
+    """Every request resolved from all sources at once, by the whole rule tables."""
+    k, asked = F.col("request_id"), fixture(spark, d, "fx_request")
+    company = F.col("company_id")
+    names = F.try_element_at(F.array(*[F.lit(c) for c in COMPANIES]), (k % (len(COMPANIES) * 2) + 1).cast("int"))
+    requests = asked.select(k, F.coalesce(names, "name").alias("name"), "year")
+    ticker = F.when(k % 4 == 0, (500000 + company).cast("string")).when(k % 9 == 0, "SABIC").otherwise(F.col("ticker"))
+    listings = asked.where(k % 3 != 0).select(k, one_of([*CODES, ""], k).alias("code"), ticker.alias("ticker"), F.concat(F.lit("X"), k.cast("string")).alias("isin"), F.when(k % 5 == 0, "").otherwise(F.upper("name")).alias("listed_name"))
+    # a name that the register lacks is the request's own
+    matches = asked.where(k % 2 == 0).select(k, one_of(NAMED, k).alias("exchange"), F.col("ticker").alias("symbol"), F.concat("name", F.lit(" found")).alias("description"))
+    profiles = fixture(spark, d, "fx_company").where(company % 3 == 1).select("ticker", F.when(company % 5 == 0, "").otherwise(F.col("country")).alias("profile_country"), F.when(company % 4 == 0, "").otherwise(address(company)).alias("website"))
+    site = lambda rows, how, url: rows.select(k, F.lit(how).alias("found_by"), url.alias("url"))
+    sites = site(asked.where(k % 5 < 2), "ticker", address(k + 1)).unionByName(site(asked.where(k % 7 < 3), "name", address(k + 2))).unionByName(site(asked.where(k % 2 == 0), "country", F.lit("https://country.example")))
+    return resolution.resolve(requests, listings, matches, profiles, sites)
