@@ -96,3 +96,29 @@ REJECTED_BEGINNINGS = (
     "mail.", "webmail.", "intranet.", "portal.",
 )
 PREFERRED_BEGINNINGS = ("ri.", "ir.", "investors.", "investor.", "investorrelations.", "relations.")
+#: Country and the languages of its companies' reports.
+COUNTRY_LANGUAGES = (
+    ("RU", "Russian"), ("TR", "Turkish"), ("ZA", "English"), ("AE", "Arabic,English"), ("BR", "Portuguese"), ("UA", "Ukrainian"), ("NG", "English"), ("MX", "Spanish"), ("KZ", "Russian,Kazakh"),
+    ("SA", "Arabic,English"), ("OM", "Arabic,English"), ("CL", "Spanish"), ("KW", "Arabic,English"), ("IN", "English"), ("CO", "Spanish"), ("BH", "Arabic,English"), ("GE", "Georgian,English"), ("GB", "English"),
+    ("QA", "Arabic,English"), ("CN", "Chinese"), ("BY", "Russian"), ("AZ", "Azerbaijani,English"), ("MA", "French,Arabic"), ("BG", "Bulgarian,English"), ("LT", "Lithuanian,English"), ("AR", "Spanish"), ("AT", "German,English"),
+    ("NO", "Norwegian,English"), ("UZ", "Uzbek,Russian"), ("ID", "Indonesian,English"), ("HU", "Hungarian,English"), ("CZ", "Czech,English"), ("HR", "Croatian,English"), ("PA", "Spanish"), ("CH", "German,French,English"),
+    ("US", "English"), ("PE", "Spanish"), ("GR", "Greek,English"), ("MU", "English,French"), ("KE", "English"), ("AU", "English"), ("SE", "Swedish,English"), ("IE", "English"), ("JO", "Arabic,English"), ("SG", "English"),
+    ("NL", "Dutch,English"), ("PL", "Polish,English"), ("RO", "Romanian,English"), ("CA", "English,French"), ("LU", "French,German,English"), ("LK", "English"), ("LB", "Arabic,English"), ("CY", "Greek,English"), ("AM", "Armenian,English"),
+)
+#: Country and the endings of its own sites.
+COUNTRY_DOMAINS = (
+    ("KZ", ".kz"), ("NG", ".ng,.com.ng"), ("RO", ".ro"), ("GE", ".ge"), ("QA", ".qa,.com.qa"), ("CO", ".co"), ("SA", ".com.sa,.sa"), ("TR", ".com.tr,.tr"), ("RU", ".ru"), ("UA", ".ua"), ("IN", ".in,.co.in"), ("AE", ".ae"),
+    ("ZA", ".co.za,.za"), ("KE", ".co.ke,.ke"), ("GH", ".com.gh,.gh"), ("EG", ".eg,.com.eg"), ("GB", ".co.uk"),
+)
+#: Plain name of a company, order, address of its report of a year.
+KNOWN_DOCUMENTS = (
+    ("infosys", 1, "https://www.infosys.com/investors/reports-filings/annual-report/annual/Documents/infosys-ar-{yy}.pdf"),
+    ("infosys", 2, "https://www.infosys.com/investors/reports-filings/annual-report/annual/Documents/infosys-ar-{year}.pdf"),
+    ("tata consultancy services", 1, "https://www.tcs.com/content/dam/tcs/investor-relations/financial-statements/{pyear}-{yy}/ar/tcs-annual-report-{pyear}-{year}.pdf"),
+    ("tcs", 1, "https://www.tcs.com/content/dam/tcs/investor-relations/financial-statements/{pyear}-{yy}/ar/tcs-annual-report-{pyear}-{year}.pdf"),
+    ("reliance industries", 1, "https://www.ril.com/getattachment/investors/financial-reporting/annual-reports/Annual-Report-{pyear}-{yy}.pdf"),
+    ("reliance industries", 2, "https://www.ril.com/DownloadFiles/IRDocuments/RIL-Annual-Report-{pyear}-{yy}.pdf"),
+    ("reliance", 1, "https://www.ril.com/getattachment/investors/financial-reporting/annual-reports/Annual-Report-{pyear}-{yy}.pdf"),
+    ("reliance", 2, "https://www.ril.com/DownloadFiles/IRDocuments/RIL-Annual-Report-{pyear}-{yy}.pdf"),
+    ("wipro", 1, "https://www.wipro.com/content/dam/nexus/en/investor-relations/wipro-annual-report-{pyear}-{yy}.pdf"),
+)

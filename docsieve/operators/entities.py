@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from docsieve.functions import requests as rq
 from docsieve.functions.text import any_of, bare_host, host
 from docsieve.operators.containment import containing
+from docsieve.operators.markets import page_fault
 from docsieve.operators.ranking import top_n
 
 # Words that tell a company's country, in order.
@@ -18,19 +19,34 @@ COUNTRY_WORDS = (
     ("TR", ("a.ş.", "a.s.", "anonim şirket", "botas", "botaş")),
     ("IN", (" limited", " ltd.", " ltd,", " industries", " enterprises", " pharmaceuticals", " infosys", " wipro", " tata ", "reliance ")),
 )
+# Words of Indian companies' names.
 INDIAN_NAMES = (
     "LIMITED", "LTD", "INDIA", "INDIAN", "BHARAT", "HINDUSTAN", "TATA", "RELIANCE", "ADANI", "BAJAJ", "MAHINDRA", "BIRLA", "INFOSYS", "WIPRO", "HCL", "SBI", "ICICI", "HDFC", "KOTAK", "AXIS",
 )
+# Words of companies of Abu Dhabi.
 ABU_DHABI = ("abu dhabi", "adnoc", "aldar", "etihad", "mubadala", "ipic", "taqa", "adcb", "adib", "first abu dhabi", "fab bank", "masdar")
+# Legal suffixes.
 SUFFIXES = (" limited", " ltd", " inc", " plc", " corp")
+# Words that tell nothing about a domain.
 DOMAIN_IGNORED = (
     "limited", "ltd", "inc", "corp", "corporation", "group", "plc", "llc", "africa", "african", "bank", "national", "global", "international", "america", "american", "europe", "european",
     "the", "and", "for",
 )
+# Words without a place in an acronym.
 ACRONYM_IGNORED = ("limited", "ltd", "inc", "corp", "corporation", "group", "plc", "llc", "the", "and", "for")
+# Sites that are no company's, in a search by ticker.
 SKIPPED_SITES = ("wikipedia.org", "linkedin.com", "facebook.com", "twitter.com", "x.com", "bloomberg.com", "reuters.com", "google.com")
+# Words of a finance page, in a search by ticker.
 FINANCE_WORDS = ("investor", "annual", "ir", "report")
+# The same in a search by name.
+NAME_SKIPPED_SITES = (
+    "wikipedia.org", "linkedin.com", "facebook.com", "twitter.com", "x.com", "youtube.com", "bloomberg.com", "reuters.com", "google.com", "crunchbase.com", "zaubacorp.com", "tofler.in", "ambitionbox.com", "glassdoor.com",
+    "indeed.com", "moneycontrol.com", "economictimes.com", "livemint.com",
+)
+NAME_FINANCE_WORDS = ("investor", "annual", "report", "financial")
+# Sites where documents are shared.
 SHARING_SITES = ("scribd.com", "coursehero.", "studylib.", "academia.edu")
+# Words that are no key word.
 KEY_WORD_STOPS = ("the", "for", "and", "group", "bank", "holding", "properties", "company")
 
 
@@ -149,6 +165,27 @@ def own_site(requests: DataFrame, hits: DataFrame, *, key: str = "request_id") -
     return both.where(usable & (file | finance)).withColumn("class", rank).groupBy(key).agg(F.min_by(base, F.struct("class", "query_ord", "pos")).alias("ir_url"))
 
 
+def named_site(requests: DataFrame, hits: DataFrame, *, key: str = "request_id") -> DataFrame:
+    """``key, ir_url``: from search hits in order, the first finance page of the company's own site, else the first site with a hit.
+
+    Aggregators, unwanted parts of a site, portals and other companies' sites do not count; a file only names its site. A page that is
+    more than its site's start stands as it is. Without any hit, a company with a word of India or Turkey in its name has that
+    country's filing site. ``hits (key, query_ord, pos, url, title, snippet)``.
+    """
+    both = hits.join(requests.select(key, "name"), key)
+    site, low = bare_host(F.col("url")), F.lower("url")
+    fault = page_fault(F.regexp_replace("url", r"(?i)\.(pdf|doc|docx|xls|xlsx|zip|rar)$", ""))
+    usable = ~F.coalesce(fault.isin("aggregator", "section"), F.lit(False)) & ~any_of(site, NAME_SKIPPED_SITES) & domain_matches(site, F.col("name"))
+    file = low.rlike(r"\.(pdf|doc|docx|xls|xlsx|zip)$")
+    finance = ~file & any_of(F.lower(F.concat_ws(" ", "url", "title", "snippet")), NAME_FINANCE_WORDS)
+    base = F.regexp_extract("url", r"^([A-Za-z]+://[^/?#]*)", 1)
+    deep = F.trim(F.regexp_extract("url", r"^[A-Za-z]+://[^/?#]*/*([^?#]*)", 1)) != ""
+    picked = both.where(usable).withColumn("class", F.when(finance, 0).otherwise(1)).groupBy(key).agg(F.min_by(F.when(finance & deep, F.col("url")).otherwise(base), F.struct("class", "query_ord", "pos")).alias("found"))
+    name = F.lower("name")
+    usual = F.when(any_of(name, ("limited", " ltd", " ltd.")), "https://www.bseindia.com").when(any_of(name, ("a.ş.", "a.s.", "anonim")), "https://www.kap.org.tr")
+    return requests.select(key, "name").join(picked, key, "left").select(key, F.coalesce("found", usual).alias("ir_url")).where("ir_url is not null")
+
+
 def replaced_subsidiaries(entities: DataFrame, hits: DataFrame, tlds: DataFrame, *, key: str = "request_id") -> DataFrame:
     """Adds ``suspect`` and corrects ``ir_url``: a site under another country's domain gives way to a better hit.
 

@@ -40,6 +40,12 @@ def market(exchange: Column, country_: Column) -> Column:
     return F.when(named != "", named).otherwise(F.coalesce(looked_up(dim.COUNTRY_MARKET, country_), F.lit("")))
 
 
+def own_ending(url: Column, country_: Column) -> Column:
+    """Whether the site ends as those of the country do; null where no ending is known."""
+    endings = F.split(looked_up(dim.COUNTRY_DOMAINS, country_), ",")
+    return F.exists(endings, lambda e: F.endswith(host(url), e))
+
+
 def exchanges(countries: Column) -> Column:
     """Exchanges of a country, or of several joined by ``/``: the list for exactly these, else each one's in turn."""
     known = looked_up(dim.SHARED_LISTINGS, countries)

@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from docsieve.functions import dimensions as dim
 from docsieve.operators import markets, resolution
-from docsieve.queries.core import query
-from docsieve.queries.entities import COUNTRY_SQL
+from docsieve.operators.entities import NAME_FINANCE_WORDS, NAME_SKIPPED_SITES, known_addresses, named_site
+from docsieve.queries.core import HOST_SQL, m, query
+from docsieve.queries.entities import COUNTRY_SQL, domain_sql
 from docsieve.queries.fixtures import fixture
 
 HOST = "lower(regexp_extract({u}, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1))"
@@ -158,3 +159,62 @@ def r10_resolved(spark, d):
     site = lambda rows, how, url: rows.select(k, F.lit(how).alias("found_by"), url.alias("url"))
     sites = site(asked.where(k % 5 < 2), "ticker", address(k + 1)).unionByName(site(asked.where(k % 7 < 3), "name", address(k + 2))).unionByName(site(asked.where(k % 2 == 0), "country", F.lit("https://country.example")))
     return resolution.resolve(requests, listings, matches, profiles, sites)
+
+
+LANDS = [c for c, _ in dim.COUNTRY_LANGUAGES] + ["XX"]
+
+
+@query("r12_languages", ("fx_company",), f"""
+k AS (SELECT company_id, {texts(LANDS)}[company_id % {len(LANDS)} + 1] AS land FROM fx_company), l AS (SELECT * FROM (VALUES {', '.join(f"('{c}', '{x}')" for c, x in dim.COUNTRY_LANGUAGES)}) AS t(land, languages))
+SELECT company_id, land, unnest(string_split(languages, ',')) AS language FROM k JOIN l USING (land)""")
+def r12_languages(spark, d):
+    """The languages of every company's country, by the whole rule table."""
+    k = F.col("company_id")
+    rows = fixture(spark, d, "fx_company").select(k, one_of(LANDS, k).alias("land"))
+    return rows.select(k, "land", F.explode(F.split(markets.looked_up(dim.COUNTRY_LANGUAGES, F.col("land")), ",")).alias("language"))
+
+
+TLD_LANDS = [c for c, _ in dim.COUNTRY_DOMAINS] + ["XX"]
+ENDINGS = ["com", *[t[1:] for _, ts in dim.COUNTRY_DOMAINS for t in ts.split(",")]]
+
+
+@query("s08_country_domains", ("fx_request",), f"""
+k AS (SELECT request_id, {texts(TLD_LANDS)}[request_id % {len(TLD_LANDS)} + 1] AS land, 'https://x.' || {texts(ENDINGS)}[request_id % {len(ENDINGS)} + 1] || '/a' AS url FROM fx_request),
+d AS (SELECT * FROM (VALUES {', '.join(f"('{c}', '{x}')" for c, x in dim.COUNTRY_DOMAINS)}) AS t(land, endings))
+SELECT request_id, land, url, CASE WHEN endings IS NULL THEN NULL ELSE len(list_filter(string_split(endings, ','), lambda e: suffix(regexp_extract(url, '^https://([^/]*)', 1), e))) > 0 END AS own FROM k LEFT JOIN d USING (land)""")
+def s08_domains(spark, d):
+    """Whether a site ends as those of the company's country do; null where no ending is known."""
+    k = F.col("request_id")
+    rows = fixture(spark, d, "fx_request").select(k, one_of(TLD_LANDS, k).alias("land"), F.concat(F.lit("https://x."), one_of(ENDINGS, k), F.lit("/a")).alias("url"))
+    return rows.withColumn("own", markets.own_ending(F.col("url"), F.col("land")))
+
+
+_DOCUMENTS = ", ".join(f"('{n}', {o}, '{p}')" for n, o, p in dim.KNOWN_DOCUMENTS)
+KNOWN_NAMES = [f"{n.title()}{s}" for n in dict.fromkeys(n for n, *_ in dim.KNOWN_DOCUMENTS) for s in ("", " Limited", " Ltd Inc")] + ["Infosys Works"]
+
+
+@query("p13_known_documents", ("fx_request",), f"""
+n AS (SELECT request_id, year, {texts(KNOWN_NAMES)}[request_id % {len(KNOWN_NAMES)} + 1] AS name FROM fx_request),
+plain AS (SELECT request_id, year, trim(replace(trim(replace(trim(replace(trim(replace(trim(replace(lower(name), ' limited', '')), ' ltd', '')), ' inc', '')), ' plc', '')), ' corp', '')) AS known FROM n),
+patterns AS (SELECT * FROM (VALUES {_DOCUMENTS}) AS t(known, ord, pattern))
+SELECT request_id, ord, replace(replace(replace(pattern, '{{year}}', year::VARCHAR), '{{pyear}}', (year - 1)::VARCHAR), '{{yy}}', substr(year::VARCHAR, 3, 2)) AS url FROM plain JOIN patterns USING (known)""")
+def p13_documents(spark, d):
+    """The addresses of known companies' reports, by the whole rule table."""
+    k = F.col("request_id")
+    rows = fixture(spark, d, "fx_request").select(k, "year", one_of(KNOWN_NAMES, k).alias("name"))
+    return known_addresses(rows, spark.createDataFrame(dim.KNOWN_DOCUMENTS, "known_name string, ord int, pattern string"))
+
+
+@query("f11_named_site", ("fx_candidate",), f"""
+h AS (SELECT request_id, pos, name, CASE pos % 7 WHEN 0 THEN 'https://www.' || {texts(NAME_SKIPPED_SITES)}[request_id % {len(NAME_SKIPPED_SITES)} + 1] || '/investor' WHEN 1 THEN 'https://shop.' || replace(lower(name), ' ', '') || '.com/annual' WHEN 2 THEN 'https://' || replace(lower(name), ' ', '') || '.org' ELSE url END AS url, link_text AS title FROM fx_candidate),
+s AS (SELECT *, {HOST.format(u='url')} AS site, regexp_replace({HOST.format(u='url')}, '^[w.]+', '') AS bare, {HOST_SQL.format(u='url')} AS plain FROM h),
+u AS (SELECT *, regexp_matches(lower(url), '\\.(pdf|doc|docx|xls|xlsx|zip)$') AS file, CASE WHEN len{FAULT.split("WHEN len", 1)[1]} AS fault FROM s),
+g AS (SELECT *, NOT file AND {m("lower(url || ' ' || title)", NAME_FINANCE_WORDS)} AS finance, regexp_extract(url, '^([a-z]+://[^/]*)', 1) AS base FROM u WHERE coalesce(fault, 'exchange') = 'exchange' AND NOT {m('plain', NAME_SKIPPED_SITES)} AND {domain_sql('plain')}),
+p AS (SELECT request_id, CASE WHEN finance AND length(replace(substr(url, length(base) + 1), '/', '')) > 0 THEN url ELSE base END AS found FROM g QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY NOT finance, pos) = 1)
+SELECT request_id, coalesce(found, CASE WHEN {m('lower(name)', ('limited', ' ltd', ' ltd.'))} THEN 'https://www.bseindia.com' WHEN {m('lower(name)', ('a.ş.', 'a.s.', 'anonim'))} THEN 'https://www.kap.org.tr' END) AS ir_url FROM (SELECT DISTINCT request_id, name FROM fx_candidate) LEFT JOIN p USING (request_id) WHERE ir_url IS NOT NULL""")
+def f11_named(spark, d):
+    hits = fixture(spark, d, "fx_candidate")
+    k, pos, flat = F.col("request_id"), F.col("pos"), F.replace(F.lower("name"), F.lit(" "), F.lit(""))
+    url = F.when(pos % 7 == 0, F.concat(F.lit("https://www."), one_of(NAME_SKIPPED_SITES, k), F.lit("/investor"))).when(pos % 7 == 1, F.concat(F.lit("https://shop."), flat, F.lit(".com/annual"))).when(pos % 7 == 2, F.concat(F.lit("https://"), flat, F.lit(".org"))).otherwise(F.col("url"))
+    rows = hits.select(k, F.lit(0).alias("query_ord"), pos, url.alias("url"), F.col("link_text").alias("title"), F.lit(None).cast("string").alias("snippet"))
+    return named_site(hits.select(k, "name").distinct(), rows)
