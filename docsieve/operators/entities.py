@@ -196,7 +196,7 @@ def replaced_subsidiaries(entities: DataFrame, hits: DataFrame, tlds: DataFrame,
     flat = F.translate(site, "-.", "")
     tick = F.lower(F.coalesce("ticker", F.lit("")))
     good = site.endswith(".com") | any_of(site, ("investor", "ir.", "relations")) | domain_matches(site, F.col("name")) | ((F.length(tick) >= 3) & F.contains(flat, tick))
-    known = entities.join(F.broadcast(tlds), "country", "left")
+    known = entities.join(tlds, "country", "left")
     wrong = F.col("tlds").isNotNull() & ~F.exists("tlds", lambda t: F.endswith(site, t))
     marked = known.withColumn("suspect", F.coalesce((F.col("ir_url") != "") & wrong & ~good, F.lit(False))).drop("tlds")
     asked = hits.join(marked.where("suspect").select(key, "name"), key).where(domain_matches(host(F.col("url")), F.col("name")))
@@ -243,7 +243,7 @@ def resolved(requests: DataFrame, rows: DataFrame, exchanges: list[tuple[str, st
     mic = reduce(lambda c, e: c.when(F.contains(F.lower("exchange"), F.lit(e[0])), e[1]), exchanges, F.when(F.lit(False), "")).otherwise("")
     symbol, market = F.substring_index("symbol", ".", 1), F.when(F.contains("symbol", F.lit(".")), F.substring_index("symbol", ".", -1)).otherwise("")
     base = requests.select(key, "name").join(best.drop("name"), key, "left").withColumns({"exchange_mic": F.coalesce(mic, F.lit("")), "ticker": F.coalesce(symbol, F.lit("")), "market": F.coalesce(market, F.lit(""))})
-    joined = base.join(F.broadcast(countries), "exchange_mic", "left").join(F.broadcast(overrides), "ticker", "left")
+    joined = base.join(countries, "exchange_mic", "left").join(overrides, "ticker", "left")
     country = F.coalesce("override", "mic_country", country_of(F.col("name")))
     return joined.select(
         key, "name", F.initcap(F.coalesce("description", F.lit(""))).alias("normalized_name"), country.alias("country"), "exchange_mic", "ticker",

@@ -148,8 +148,8 @@ def first_fragment(rows: DataFrame, dim: DataFrame, *, text: str, fragment: str
 
 def routed(requests: DataFrame, routes: DataFrame, *, key: str = "request_id") -> DataFrame:
     """``key, route``: the first route, in order, for the request's exchange or else its country; two equi-joins."""
-    by_mic = requests.join(F.broadcast(routes.where("mic is not null").select("mic", "route", "ord")), "mic").select(key, "route", "ord")
-    by_country = requests.join(F.broadcast(routes.where("mic is null").select("country", "route", "ord")), "country").select(key, "route", "ord")
+    by_mic = requests.join(routes.where("mic is not null").select("mic", "route", "ord"), "mic").select(key, "route", "ord")
+    by_country = requests.join(routes.where("mic is null").select("country", "route", "ord"), "country").select(key, "route", "ord")
     return by_mic.unionByName(by_country).groupBy(key).agg(F.min_by("route", "ord").alias("route"))
 
 

@@ -30,7 +30,7 @@ def rejects(scored: DataFrame, *, by: str = "request_id") -> DataFrame:
 def feedback_counts(feedback: DataFrame, labels: DataFrame) -> DataFrame:
     """Entries and the newest time of each issue type, with its label."""
     counts = feedback.groupBy("issue_type").agg(F.count("*").alias("n"), F.max("ts").alias("newest"))
-    return counts.join(F.broadcast(labels), "issue_type", "left").withColumn("label", F.coalesce("label", "issue_type"))
+    return counts.join(labels, "issue_type", "left").withColumn("label", F.coalesce("label", "issue_type"))
 
 
 def newest(feedback: DataFrame, n: int = 200) -> DataFrame:

@@ -102,7 +102,7 @@ class UserTable:
 
     def delete(self, keys: DataFrame, *, key: str | None = None) -> int:
         """Deletes the rows that agree with a row of ``keys`` (the user, and further columns if it has them); gives their number."""
-        return self._rewritten(lambda rows: rows.join(F.broadcast(keys.distinct()) if keys.count() <= 1000 else keys.distinct(), keys.columns, "left_anti"), keys, key)
+        return self._rewritten(lambda rows: rows.join(keys.distinct(), keys.columns, "left_anti"), keys, key)
 
     def compact(self) -> None:
         """Makes one folder of each bucket that has many."""

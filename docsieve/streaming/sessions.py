@@ -78,7 +78,7 @@ def exhausted(calls: DataFrame) -> DataFrame:
     The first refusal of each provider is one number, joined back, so no window holds a provider's whole history.
     """
     first = calls.where(F.col("status").isin(402, 403, 429)).groupBy("provider").agg(F.min(F.struct("ts", "seq")).alias("refused"))
-    return calls.join(F.broadcast(first), "provider", "left").withColumn("skipped", F.coalesce(F.struct("ts", "seq") > F.col("refused"), F.lit(False))).drop("refused")
+    return calls.join(first, "provider", "left").withColumn("skipped", F.coalesce(F.struct("ts", "seq") > F.col("refused"), F.lit(False))).drop("refused")
 
 
 def best_so_far(results: DataFrame, *, line: float = 0.90) -> DataFrame:
