@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from docsieve.operators import markets
 from docsieve.sources import tables
+from docsieve.sources.store import UserTable
 
 PAGES = [
     ("https://www.moneycontrol.com/x", "aggregator"), ("https://finance.yahoo.com/q", "aggregator"), ("https://www.bseindia.com/", "exchange"), ("https://m.sgx.com", "exchange"),
@@ -35,7 +36,7 @@ def test_pages_and_countries_of_companies(spark):
 def test_sinks_return_ids_and_append(spark, tmp_path):
     items = spark.createDataFrame([(1, 5, None, None, None, None, None), (2, 6, "IN", "web", "high", "it", 0.5)], "user_id long, request_id long, country string, source string, confidence string, sector string, score double")
     ids = {r["request_id"]: r["item_id"] for r in tables.append_library(items, f"{tmp_path}/library").collect()}
-    assert {r["request_id"]: r["item_id"] for r in spark.read.parquet(f"{tmp_path}/library").collect()} == ids and len(set(ids.values())) == 2
+    assert {r["request_id"]: r["item_id"] for r in UserTable(spark, f"{tmp_path}/library").read().collect()} == ids and len(set(ids.values())) == 2
     notes = spark.createDataFrame([(1, "short"), (2, "x" * 501), (3, None)], "feedback_id int, user_note string")
     for _ in range(2):
         tables.append_feedback(notes, f"{tmp_path}/feedback")
