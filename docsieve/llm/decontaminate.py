@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from docsieve.llm.text import ALNUM_TABLE, alnum_words, stored
+from docsieve.llm.text import ALNUM_TABLE, alnum_words, stored, tidy
 
 WINDOW = 10
 WORD = re.compile(rb"[^ ]+")
@@ -248,12 +248,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
     parts = block_count(benchmark, item_col, item_text_col, block_bytes)
     blocks = benchmark_blocks(benchmark, item_col, item_text_col, window, parts)
     if parts == 1:
-        return rows.mapInArrow(finder(spark.sparkContext.broadcast(next(blocks)), False), f"id {kind}, {result}")
+        return rows.mapInArrow(tidy(finder(spark.sparkContext.broadcast(next(blocks)), False)), f"id {kind}, {result}")
     keyed = rows.withColumn("key", F.sha2(F.coalesce("text", F.lit(b"")), 256))
     both = None
     for i, block in enumerate(blocks):
         shared = spark.sparkContext.broadcast(block)
-        each = stored(keyed.mapInArrow(finder(shared, True), f"id {kind}, key string, {result}").withColumn("block", F.lit(i)))
+        each = stored(keyed.mapInArrow(tidy(finder(shared, True)), f"id {kind}, key string, {result}").withColumn("block", F.lit(i)))
         shared.destroy()
         both = each if both is None else both.unionByName(each)
     merged = both.groupBy("id", "key").agg(
@@ -296,7 +296,7 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text
                         for old, f in zip(batch.columns[-1].to_pylist(), found, strict=True)]
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(hits, pa.list_(pa.int64()))], names=batch.schema.names)
 
-        rows = rows.mapInArrow(search, rows.schema)
+        rows = rows.mapInArrow(tidy(search), rows.schema)
         if i < parts - 1:
             rows = stored(rows)
             shared.destroy()
@@ -308,4 +308,4 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text
             columns = [c if i != place else pa.array(clean, pa.binary()).cast(pa.string()) for i, c in enumerate(batch.columns[:-1])]
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1])
 
-    return rows.mapInArrow(remove, schema)
+    return rows.mapInArrow(tidy(remove), schema)

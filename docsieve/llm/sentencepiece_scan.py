@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docsieve.llm.text import Memory, forget, stored
+from docsieve.llm.text import Memory, forget, stored, tidy
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
@@ -243,7 +243,7 @@ def encode(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", m
                     [part["id"], pa.array(list(map(len, texts)), pa.int64()), pa.array([1] * len(ids), pa.int64()), pa.array(list(map(len, ids)), pa.int64()), lists(ids), pa.array(same)],
                     ["id", "n_chars", "n_chunks", "n_pieces", "ids", "round_trip"])
 
-    small = rows.where(~giant).mapInArrow(whole, f"id {kind}, {result}")
+    small = rows.where(~giant).mapInArrow(tidy(whole), f"id {kind}, {result}")
 
     def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         over = Pieces(shared.value).longest
@@ -257,7 +257,7 @@ def encode(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", m
 
     large = rows.where(giant).select("id", F.sha2("text", 256).alias("key"), "text")
     owners = large.select("id", "key")
-    chunks = stored(large.select("key", "text").mapInArrow(sliced, "key string, node long, s string, begin long, end long").dropDuplicates(["key", "node"]))
+    chunks = stored(large.select("key", "text").mapInArrow(tidy(sliced), "key string, node long, s string, begin long, end long").dropDuplicates(["key", "node"]))
 
     def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = Pieces(shared.value)
@@ -265,7 +265,7 @@ def encode(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", m
             cells = [pack(pieces.transfer(r["s"], r["begin"], r["end"], r["node"] == 0)) for r in batch.to_pylist()]
             yield pa.RecordBatch.from_arrays([batch["key"], batch["node"], pa.array(cells, pa.list_(pa.int32()))], ["key", "node", "cells"])
 
-    path = scan(stored(chunks.mapInArrow(matrices, "key string, node long, cells array<int>")))
+    path = scan(stored(chunks.mapInArrow(tidy(matrices), "key string, node long, cells array<int>")))
 
     def traced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = Pieces(shared.value)
@@ -278,7 +278,7 @@ def encode(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", m
                 chars.append(len(own))
             yield pa.RecordBatch.from_arrays([batch["key"], batch["node"], lists(ids), pa.array(same), pa.array(chars, pa.int64())], ["key", "node", "ids", "same", "chars"])
 
-    pieces = chunks.join(path, ["key", "node"]).mapInArrow(traced, "key string, node long, ids array<int>, same boolean, chars long")
+    pieces = chunks.join(path, ["key", "node"]).mapInArrow(tidy(traced), "key string, node long, ids array<int>, same boolean, chars long")
     texts = pieces.groupBy("key").agg(
         F.sort_array(F.collect_list(F.struct("node", "ids"))).alias("parts"), F.bool_and("same").alias("round_trip"), F.sum("chars").alias("chars"))
     marked = large.groupBy("key").agg(F.bool_or(F.contains("text", F.lit(BLANK))).alias("marked"))
@@ -305,4 +305,4 @@ def decode(encoded: DataFrame, *, id_col: str = "doc_id", ids_col: str = "ids",
             yield pa.RecordBatch.from_arrays([batch["id"], pa.array(texts, pa.string())], ["id", "text"])
 
     rows = encoded.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids"))
-    return rows.mapInArrow(run, f"id {kind}, text string").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(tidy(run), f"id {kind}, text string").withColumnRenamed("id", id_col)

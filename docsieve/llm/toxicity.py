@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docsieve.llm.text import Memory, alnum_words, forget, stored
+from docsieve.llm.text import Memory, alnum_words, forget, stored, tidy
 
 BEGINNINGS = (4, 5, 6, 7, 8)
 
@@ -117,7 +117,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
                 [batch["y"], pa.array([list(f) for f in found], pa.list_(pa.int32())), pa.array([list(f.values()) for f in found], pa.list_(pa.int32()))],
                 ["y", "term", "n"])
 
-    rows = stored(sample.mapInArrow(gather, "y double, term array<int>, n array<int>"))
+    rows = stored(sample.mapInArrow(tidy(gather), "y double, term array<int>, n array<int>"))
     base = rows.agg(F.count("*").alias("n"), F.sum("y").alias("p")).first()
     rate = (base["p"] or 0.0) / max(base["n"], 1)
     if not 0 < rate < 1:
@@ -142,7 +142,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
                 [batch["y"], pa.array([[t for t, _ in p] for p in pairs], pa.list_(pa.int32())), pa.array([[c for _, c in p] for p in pairs], pa.list_(pa.int32()))],
                 ["y", "term", "n"])
 
-    table = rows.mapInArrow(slim, "y double, term array<int>, n array<int>").toArrow().combine_chunks()
+    table = rows.mapInArrow(tidy(slim), "y double, term array<int>, n array<int>").toArrow().combine_chunks()
     term, count, y = (table[c].combine_chunks() if hasattr(table[c], "combine_chunks") else table[c] for c in ("term", "n", "y"))
     row = np.repeat(np.arange(len(y)), np.diff(np.asarray(term.offsets)))
     col, x = np.asarray(term.flatten()), value(np.asarray(count.flatten()).astype(float))
@@ -166,7 +166,7 @@ def toxicity(docs: DataFrame, model: tuple[dict[int, int], Machine], *, id_col:
             yield pa.RecordBatch.from_arrays([batch["id"], pa.array(scores), pa.array((scores >= limit).astype(np.int32))], ["id", "score", "predicted"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
-    return rows.mapInArrow(run, f"id {kind}, score double, predicted int").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(tidy(run), f"id {kind}, score double, predicted int").withColumnRenamed("id", id_col)
 
 
 def score_texts(texts: list[bytes | None], keep: dict[int, int], machine: Machine, bits: int, cache: Memory) -> np.ndarray:
@@ -190,4 +190,4 @@ def keep_clean(docs: DataFrame, model, *, text_col: str = "text", bits: int = 20
             scores = score_texts(batch.column(place).cast(pa.binary()).to_pylist(), keep, machine, bits, cache)
             yield batch.filter(pa.array(scores < limit))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
