@@ -77,11 +77,11 @@ def listings(answers: DataFrame, *, key: str = "company_id", payload: str = "pay
 
 
 def disclosures(companies: DataFrame, notices: DataFrame, files: DataFrame, *, year: str = "year") -> DataFrame:
-    """``company_id, url``: a company's first annual notice of the year with a PDF, over three tables.
+    """``company_id, url``: a company's first annual notice of the year with a PDF, over three tables; of equal places the smallest notice.
 
     ``notices (company_id, notice_id, pos, period, kind)``; ``files (notice_id, pos, url)``.
     """
     annual = F.contains(F.lower("kind"), F.lit("annual")) | F.contains(F.lower("kind"), F.lit("faaliyet"))
     found = companies.join(notices.where(annual).withColumnRenamed("pos", "notice_pos"), "company_id").where(F.contains("period", F.col(year).cast("string")))
     pdfs = files.where(F.contains(F.lower("url"), F.lit(".pdf")))
-    return found.join(pdfs, "notice_id").groupBy("company_id").agg(F.min_by("url", F.struct("notice_pos", "pos")).alias("url"))
+    return found.join(pdfs, "notice_id").groupBy("company_id").agg(F.min_by("url", F.struct("notice_pos", "pos", "notice_id")).alias("url"))

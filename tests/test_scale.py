@@ -1,6 +1,7 @@
 """Cases that small tables don't show: many rows of one key, ties, rows out of order, and how many rows joins make."""
 
 from docsieve.operators import matching
+from docsieve.sources import providers
 
 
 def rows_made(df):
@@ -30,3 +31,11 @@ def test_a_name_of_many_companies_meets_a_request_once(spark):
     got = {r["request_id"]: (r["company_id"], r["by"]) for r in df.collect()}
     assert got == {i: (9, "ticker") if i == 7 else (1, "name") for i in range(n)}
     assert max(v for k, v in rows_made(df) if "Join" in k) <= n
+
+
+def test_disclosures_at_the_same_place(spark):
+    companies = spark.createDataFrame([(1, 2000)], "company_id int, year int")
+    notices = spark.createDataFrame([(1, 30, 5, "2000/1", "Annual"), (1, 20, 5, "2000/2", "Annual"), (1, 40, 5, "2000/3", "Faaliyet")], "company_id int, notice_id int, pos int, period string, kind string")
+    files = spark.createDataFrame([(30, 0, "a.pdf"), (20, 0, "z.PDF"), (40, 0, "b.pdf")], "notice_id int, pos int, url string")
+    for part in (notices, notices.orderBy("notice_id"), notices.orderBy("pos", "kind")):
+        assert [tuple(r) for r in providers.disclosures(companies, part.coalesce(1), files).collect()] == [(1, "z.PDF")]
