@@ -25,21 +25,28 @@ def until_closed(events: DataFrame) -> DataFrame:
 
 
 def until_closed_stream(events: DataFrame) -> DataFrame:
-    """Stream: the same, with one closed flag of state per session; input in order of time within a session.
+    """Stream: the same, with one closed flag of state per session; the rows of one micro-batch may come in any order.
 
+    A micro-batch gives a session's rows in several parts, and its first end may be in the last of them. So rows are held until all
+    parts are read, but only those up to the earliest end found by then. What a later micro-batch brings counts as later;
     ``ordered.closing_stream`` takes input in any order and lets quiet sessions go.
     """
 
     def step(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        closed = state.exists and state.get[0]
-        for rows in batches:  # each is given on before the next is read
-            if closed:
-                break
-            ends = rows.sort_values(["ts", "seq"])["kind"].isin(TERMINAL).to_numpy()
-            closed = bool(ends.any())
-            last = int(ends.argmax()) if closed else len(rows) - 1
-            yield rows.sort_values(["ts", "seq"]).iloc[: last + 1][["session_id", "seq", "kind", "ts"]]
-        state.update((closed,))
+        if state.exists and state.get[0]:
+            return
+        kept, end = [], None
+        early = lambda rows: rows[(rows["ts"] < end[0]) | ((rows["ts"] == end[0]) & (rows["seq"] <= end[1]))]
+        for rows in batches:
+            ends = rows[rows["kind"].isin(TERMINAL)].sort_values(["ts", "seq"])
+            first = None if ends.empty else (ends["ts"].iloc[0], ends["seq"].iloc[0])
+            if first is not None and (end is None or first < end):
+                end = first
+                kept = [early(k) for k in kept]
+            kept.append(rows if end is None else early(rows))
+        state.update((end is not None,))
+        for rows in kept:
+            yield rows[["session_id", "seq", "kind", "ts"]]
 
     picked = timed(events).select("session_id", "seq", "kind", "ts")
     return picked.groupBy("session_id").applyInPandasWithState(step, "session_id long, seq long, kind string, ts timestamp", "closed boolean", "append", "NoTimeout")

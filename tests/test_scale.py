@@ -1,7 +1,10 @@
 """Cases that small tables don't show: many rows of one key, ties, rows out of order, and how many rows joins make."""
 
+from datetime import datetime, timedelta
+
 from docsieve.operators import matching
 from docsieve.sources import providers
+from docsieve.streaming import sessions
 
 
 def rows_made(df):
@@ -39,3 +42,19 @@ def test_disclosures_at_the_same_place(spark):
     files = spark.createDataFrame([(30, 0, "a.pdf"), (20, 0, "z.PDF"), (40, 0, "b.pdf")], "notice_id int, pos int, url string")
     for part in (notices, notices.orderBy("notice_id"), notices.orderBy("pos", "kind")):
         assert [tuple(r) for r in providers.disclosures(companies, part.coalesce(1), files).collect()] == [(1, "z.PDF")]
+
+
+def test_a_session_in_several_parts_and_out_of_order(spark, tmp_path):
+    start = datetime(2024, 5, 1)
+    rows = [(1, i, "done" if i in (40, 70) else "status", start + timedelta(seconds=i // 2)) for i in range(100)] + [(2, i, "status", start) for i in range(30)]
+    schema = "session_id long, seq long, kind string, ts timestamp"
+    spark.createDataFrame(rows[::-1], schema).coalesce(1).write.parquet(f"{tmp_path}/in")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")  # a session comes in many parts
+    try:
+        found = sessions.until_closed_stream(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"))
+        found.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    got = sorted(tuple(r)[:2] for r in spark.read.schema(found.schema).parquet(f"{tmp_path}/out").collect())
+    assert got == [(1, i) for i in range(41)] + [(2, i) for i in range(30)]
