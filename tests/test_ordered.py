@@ -105,3 +105,17 @@ def test_the_store_is_asked_for(spark):
     with pytest.raises(ValueError, match="timers"):
         ordered.closing_stream(rows)
     spark.conf.set(ordered.STORE[0], before)
+
+
+def test_rows_wait_in_few_values_of_state(stored_state, tmp_path):
+    rows = [event(1, i, "", 5 * i) for i in range(2000)]
+    random.Random(4).shuffle(rows)
+    source, out, state = (f"{tmp_path}/{n}" for n in ("in", "out", "state"))
+    for batch in (rows, [LAST]):
+        stored_state.createDataFrame(batch, SCHEMA).coalesce(1).write.mode("append").parquet(source)
+        found = ordered.cached_stream(stored_state.readStream.schema(SCHEMA).parquet(source), lifetime="1 hour", lateness="3 hours")
+        found.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+        if batch is rows:
+            assert 0 < stored_state.read.format("statestore").option("stateVarName", "waiting").load(state).count() < 20
+    got = {(r["seq"], r["hit"], r["served_by"]) for r in stored_state.read.schema(found.schema).parquet(out).where("client_id = 1").collect()}
+    assert got == {(i, i % 720 != 0, i - i % 720) for i in range(2000)}
