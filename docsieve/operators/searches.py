@@ -1,4 +1,4 @@
-"""Searches over a table of hits: plans from rule tables, and their evaluation as joins with a positional word index."""
+"""Searches over a table of hits: plans from rule tables, and their evaluation in a join of searches and hits by request."""
 
 from __future__ import annotations
 
@@ -49,39 +49,46 @@ def site_plan(requests: DataFrame, *, site: str = "ir_url") -> DataFrame:
 
 
 def clauses(plans: DataFrame) -> DataFrame:
-    """``request_id, ord, grp, alt, required, kind, term, at, size``: a row for each word that a term asks for.
+    """``request_id, ord, needed, groups``: a row for each search that asks for something.
 
     A term is a site, a file ending, a quoted phrase or what stands between blanks; terms joined by OR are alternatives of one group.
+    ``groups`` holds the alternatives of each group as ``required, kind, term``, words with single blanks around them;
+    ``needed`` is the number of groups with a term that must be met.
     """
-    terms = plans.select("request_id", "ord", F.posexplode(sr.groups(F.col("query"))).alias("grp", "raw")).select("request_id", "ord", "grp", F.posexplode(F.split("raw", "\x01")).alias("alt", "term"))
-    t = F.col("term")
-    rows = terms.select("request_id", "ord", "grp", "alt", sr.term_required(t).alias("required"), sr.term_kind(t).alias("kind"), sr.term_words(t).alias("words"))
-    return rows.select("request_id", "ord", "grp", "alt", "required", "kind", F.size("words").alias("size"), F.posexplode("words").alias("at", "term"))
+    # Each text is cut into terms once; exploding a single array keeps what follows from cutting it again.
+    once = lambda df, value, name: df.select("request_id", "ord", F.explode(F.array(value)).alias(name))
+    cut = lambda t: F.struct(sr.term_required(t).alias("required"), sr.term_kind(t).alias("kind"), sr.term_words(t).alias("words"))
+    line = lambda t: F.when(t["kind"] == "word", F.concat(F.lit(" "), F.array_join(t["words"], " "), F.lit(" "))).otherwise(F.get(t["words"], F.lit(0)))
+    full = lambda g: F.filter(F.transform(F.split(g, "\x01"), cut), lambda t: F.size(t["words"]) > 0)
+    terms = F.transform(sr.groups(F.col("query")), lambda g: F.transform(full(g), lambda t: F.struct(t["required"].alias("required"), t["kind"].alias("kind"), line(t).alias("term"))))
+    rows = once(plans, F.filter(terms, lambda g: F.size(g) > 0), "groups").where(F.size("groups") > 0)
+    needed = F.size(F.filter("groups", lambda g: F.exists(g, lambda t: t["required"])))
+    return rows.select("request_id", "ord", needed.alias("needed"), "groups")
+
+
+def texts(hits: DataFrame, *, url: str = "url", text: str = "link_text") -> DataFrame:
+    """``request_id, pos, said, site, ending``: the words of address and text in order with single blanks around them, the host after a dot, the file's ending."""
+    ending = F.regexp_extract(F.lower(F.regexp_replace(url, "[?#].*$", "")), r"\.([a-z0-9]+)$", 1)
+    said = F.concat(F.lit(" "), F.array_join(sr.words(F.concat_ws(" ", url, text)), " "), F.lit(" "))
+    return hits.select("request_id", "pos", said.alias("said"), F.concat(F.lit("."), host(F.col(url))).alias("site"), ending.alias("ending"))
 
 
-def word_index(hits: DataFrame, *, url: str = "url", text: str = "link_text") -> DataFrame:
-    """``request_id, pos, kind, term, place``: words of address and text in order, every domain of the host, the file's ending."""
-    site = F.split(host(F.col(url)), r"\.")
-    domains = F.transform(F.sequence(F.lit(1), F.size(site)), lambda i: F.array_join(F.slice(site, i, F.size(site)), "."))
-    ending = F.regexp_extract(F.lower(F.regexp_replace(url, "[?#].*$", "")), r"\.([a-z0-9]+)$", 1)
-    row = lambda kind, values: hits.select("request_id", "pos", F.lit(kind).alias("kind"), F.posexplode(values).alias("place", "term"))
-    flat = lambda df: df.withColumn("place", F.lit(0))
-    whole = row("word", sr.words(F.concat_ws(" ", url, text)))
-    return whole.unionByName(flat(row("site", F.array_distinct(domains)))).unionByName(flat(row("filetype", F.array(ending)))).where("term <> ''")
+def met(term: Column) -> Column:
+    """Whether a hit has the words of a term in a row, lies in its domain or has its ending."""
+    kind, t = term["kind"], term["term"]
+    return F.when(kind == "word", F.contains("said", t)).when(kind == "site", F.endswith("site", F.concat(F.lit("."), t))).otherwise(F.col("ending") == t)
 
 
 def answers(plans: DataFrame, hits: DataFrame, **columns) -> DataFrame:
     """``request_id, ord, pos, n_words``: each request's hits that meet all that its first successful search requires.
 
     A phrase is met where its words stand in a row; a group if one of its alternatives is met. ``n_words`` is the number of the
-    search's other words that the hit has; a search that requires nothing needs one at least. Every step is
-    a join or a grouping by request, search and hit, so a request with many hits is spread over tasks.
+    search's other words that the hit has; a search that requires nothing needs one at least. Plans and hits meet in one join by
+    request, where each search is held against the hit's text at once: a word is never a row, so what is shuffled grows with
+    requests and hits alone, and Spark splits a request with many hits.
     """
-    asked = clauses(plans)
-    needed = asked.groupBy("request_id", "ord", "grp").agg(F.max("required").alias("required")).groupBy("request_id", "ord").agg(F.count_if("required").alias("needed"))
-    met = asked.join(word_index(hits, **columns), ["request_id", "kind", "term"]).groupBy(
-        "request_id", "ord", "grp", "alt", "pos", "size", (F.col("place") - F.col("at")).alias("start")).agg(F.count("*").alias("found"), F.max("required").alias("required")).where("found = size")
-    by_group = met.groupBy("request_id", "ord", "pos", "grp").agg(F.max("required").alias("required"))
-    by_hit = by_group.groupBy("request_id", "ord", "pos").agg(F.count_if("required").alias("n_required"), F.count_if(~F.col("required")).alias("n_words"))
-    good = by_hit.join(needed, ["request_id", "ord"]).where("n_required = needed")
+    both = clauses(plans).join(texts(hits, **columns), "request_id")
+    state = F.transform("groups", lambda g: F.when(F.exists(g, lambda t: t["required"] & met(t)), 2).when(F.exists(g, met), 1).otherwise(0))
+    tried = both.select("request_id", "ord", "pos", "needed", F.explode(F.array(state)).alias("state")).select("request_id", "ord", "pos", "needed", F.size(F.filter("state", lambda s: s == 2)).alias("n_required"), F.size(F.filter("state", lambda s: s == 1)).cast("long").alias("n_words"))
+    good = tried.where("n_required = needed and n_required + n_words > 0")
     return first_level(good, ["request_id"], "ord").select("request_id", "ord", "pos", "n_words")

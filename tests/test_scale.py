@@ -2,7 +2,7 @@
 
 from datetime import datetime, timedelta
 
-from docsieve.operators import matching
+from docsieve.operators import matching, searches
 from docsieve.sources import providers
 from docsieve.streaming import sessions
 
@@ -58,3 +58,12 @@ def test_a_session_in_several_parts_and_out_of_order(spark, tmp_path):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
     got = sorted(tuple(r)[:2] for r in spark.read.schema(found.schema).parquet(f"{tmp_path}/out").collect())
     assert got == [(1, i) for i in range(41)] + [(2, i) for i in range(30)]
+
+
+def test_words_of_searches_are_no_rows(spark):
+    n = 150
+    plans = spark.createDataFrame([(1, i, f'site:acme.com "annual report" {2020 + i} filetype:pdf some more words') for i in range(4)], "request_id int, ord int, query string")
+    hits = spark.range(n).selectExpr("1 as request_id", "cast(id as int) as pos", "concat('https://ir.acme.com/annual-report-', 2021 + id % 5, '-of-many-words-and-more.pdf') as url", "'some text of a link' as link_text")
+    df = searches.answers(plans, hits)
+    assert {tuple(r) for r in df.collect()} == {(1, 1, i, 3) for i in range(0, n, 5)}
+    assert max(v for _, v in rows_made(df)) <= 4 * n
