@@ -2,7 +2,10 @@
 
 from datetime import datetime, timedelta
 
+from pyspark.sql import functions as F
+
 from docsieve.operators import matching, searches
+from docsieve.plans import waterfall
 from docsieve.sources import providers
 from docsieve.streaming import sessions
 
@@ -67,3 +70,16 @@ def test_words_of_searches_are_no_rows(spark):
     df = searches.answers(plans, hits)
     assert {tuple(r) for r in df.collect()} == {(1, 1, i, 3) for i in range(0, n, 5)}
     assert max(v for _, v in rows_made(df)) <= 4 * n
+
+
+def test_a_waterfall_over_one_table_reads_it_once(spark, tmp_path):
+    rows = [(r, f"u{i}", ("web", "exchange", "ir_crawl")[(r + i) % 3], 0.5 + (r * 7 + i * 11) % 10 / 10, (r + i) % 4 > 0, i % 3, i % 2) for r in range(30) for i in range(r % 6)]
+    spark.createDataFrame(rows, "request_id int, url string, source string, score double, alive boolean, source_tier int, phase int").write.parquet(f"{tmp_path}/pool")
+    pool, requests = spark.read.parquet(f"{tmp_path}/pool"), spark.range(28).selectExpr("cast(id as int) as request_id")
+    df = waterfall.waterfall_of(pool, requests, [("direct", F.col("source") != "web"), ("web", F.col("source") == "web")])
+    stage = lambda where: lambda open_: pool.where(where).join(open_.select("request_id"), "request_id", "left_semi")
+    want = waterfall.waterfall(requests, [("direct", stage("source <> 'web'")), ("web", stage("source = 'web'"))])
+    columns = ["request_id", "url", "score", "stage"]
+    assert {tuple(r) for r in df.select(columns).collect()} == {tuple(r) for r in want.select(columns).collect()}
+    assert {r["stage"] for r in df.collect()} == {"direct", "web"}
+    assert sum("Scan parquet" in k for k, _ in rows_made(df)) == 1
