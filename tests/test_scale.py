@@ -4,6 +4,8 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
+from docsieve.functions import rules, scoring
+from docsieve.functions.text import branches, shortest
 from docsieve.operators import matching, searches
 from docsieve.plans import waterfall
 from docsieve.sources import providers
@@ -83,3 +85,11 @@ def test_a_waterfall_over_one_table_reads_it_once(spark, tmp_path):
     assert {tuple(r) for r in df.select(columns).collect()} == {tuple(r) for r in want.select(columns).collect()}
     assert {r["stage"] for r in df.collect()} == {"direct", "web"}
     assert sum("Scan parquet" in k for k, _ in rows_made(df)) == 1
+
+
+def test_no_rule_on_the_type_is_evaluated_twice(spark):
+    row = ("https://a.com/report-x2022-23.pdf", "Acme", 2023, "annual_report", "https://a.com", 200, "application/pdf")
+    df = scoring.scored(spark.createDataFrame([row, ("https://a.com/report-2022-23.pdf", *row[1:])], "url string, name string, year int, doc_type string, ir_url string, head_status int, content_type string"))
+    plan = df.select("reject")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(branches(shortest(rules.REJECT_PATH))) == 1
+    assert [r["year_points"] for r in df.collect()] == [50, 50]
