@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docsieve.llm.text import blank_words, cut
@@ -75,8 +75,12 @@ def fingerprint(text: bytes | None, width: int = 3) -> int:
     if not words:
         return 0
     runs = zip(*(words[i:] for i in range(width)), strict=False) if len(words) >= width else [words]
-    hashed = [xxhash.xxh64_intdigest(s, SEED) for s in map(b" ".join, runs)]
-    bits = np.unpackbits(np.array(hashed, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    return majority(np.array([xxhash.xxh64_intdigest(s, SEED) for s in map(b" ".join, runs)], "<u8"))
+
+
+def majority(hashed: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes."""
+    bits = np.unpackbits(hashed.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
     ones = bits.sum(0, dtype=np.int64)
     return int(np.packbits(ones * 2 > len(hashed), bitorder="little").view("<u8")[0])
 
@@ -148,13 +152,27 @@ def labelled(fps: DataFrame, roots: DataFrame) -> DataFrame:
     return fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
 
 
+def near(most: int) -> Column:
+    return F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= most
+
+
+def leads(fps: DataFrame) -> DataFrame:
+    """``key, other, n``: the smallest fingerprint of each bucket, and how many it has."""
+    return fps.select("fp").mapInArrow(own_keys, "key long, fp long").groupBy("key").agg(F.min("fp").alias("other"), F.count("*").alias("n"))
+
+
+def ties(fps: DataFrame, lead: DataFrame, most: int) -> DataFrame:
+    """``fp, other``: distinct fingerprints and the smallest ones of the buckets they ask, where they link."""
+    probes = fps.select("fp").mapInArrow(probe_keys, "key long, fp long")
+    return probes.join(lead, "key").where(near(most) & (F.col("fp") != F.col("other"))).select("fp", "other")
+
+
 def links(fps: DataFrame, most: int) -> DataFrame:
     """``fp, root`` for distinct fingerprints: those joined by chains of links have one root."""
-    near = F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= most
     own = fps.select("fp").mapInArrow(own_keys, "key long, fp long")
     probes = fps.select("fp").mapInArrow(probe_keys, "key long, fp long")
-    lead = own.groupBy("key").agg(F.min("fp").alias("other"), F.count("*").alias("n"))
-    first = probes.join(lead, "key").where(near & (F.col("fp") != F.col("other")))
+    lead = leads(fps)
+    first = ties(fps, lead, most)
     found = labelled(fps, components(first.select(F.col("fp").alias("a"), F.col("other").alias("b"))))
     found = cut(found)
     # What is left: pairs in buckets of two or more fingerprints whose components still differ.
@@ -163,7 +181,7 @@ def links(fps: DataFrame, most: int) -> DataFrame:
     mixed = members.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"))
     asking = probes.join(mixed, "key").join(found, "fp").where("not (low = high and low = root)").select("key", "fp", "root")
     other = members.where("fp <> lead").select("key", F.col("fp").alias("other"), F.col("root").alias("other_root"))
-    rest = asking.join(other, "key").where(near & (F.col("root") != F.col("other_root")))
+    rest = asking.join(other, "key").where(near(most) & (F.col("root") != F.col("other_root")))
     more = components(rest.select(F.col("root").alias("a"), F.col("other_root").alias("b")))
     return (
         found.join(more.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left")
