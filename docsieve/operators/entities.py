@@ -79,12 +79,16 @@ def key_word(name: Column) -> Column:
 
 def domain_matches(site: Column, name: Column) -> Column:
     """A word of the name, or its initials, in the host without dots and hyphens."""
-    flat = F.translate(F.lower(site), "-.", "")
     words = F.split(F.trim(F.lower(name)), r"\s+")
     ignored, short = F.array(*[F.lit(w) for w in DOMAIN_IGNORED]), F.array(*[F.lit(w) for w in ACRONYM_IGNORED])
-    named = F.exists(words, lambda w: (F.length(w) > 3) & ~F.array_contains(ignored, w) & F.contains(flat, w))
     initials = F.array_join(F.transform(F.filter(words, lambda w: (F.length(w) >= 4) & ~F.array_contains(short, w)), lambda w: F.substring(w, 1, 1)), "")
-    return named | ((F.length(initials) >= 3) & F.contains(flat, initials))
+
+    def matched(flat: Column) -> Column:
+        named = F.exists(words, lambda w: (F.length(w) > 3) & ~F.array_contains(ignored, w) & F.contains(flat, w))
+        return named | ((F.length(initials) >= 3) & F.contains(flat, initials))
+
+    # As the element of an array the host is made once for all words.
+    return F.get(F.transform(F.array(F.translate(F.lower(site), "-.", "")), matched), F.lit(0))
 
 
 def plain_name(name: Column) -> Column:

@@ -5,13 +5,14 @@ Every rule is one expression over the row, so nothing is shuffled or joined.
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from docsieve.functions import dimensions as dim
-from docsieve.functions.text import host
+from docsieve.functions.text import any_of, host
 
 
 def chosen(rows: tuple[tuple[str, str], ...], test) -> Column:
@@ -19,9 +20,14 @@ def chosen(rows: tuple[tuple[str, str], ...], test) -> Column:
     return reduce(lambda c, r: c.when(test(r[0]), r[1]), rows, F.when(F.lit(False), "")).otherwise("")
 
 
+def within(rows: tuple[tuple[str, str], ...], text: Column) -> Column:
+    """The value of the first row whose key lies within the text; '' if none does. Keys are tried one by one only where one of them occurs."""
+    return F.when(any_of(text, [k for k, _ in rows]), chosen(rows, lambda key: F.contains(text, F.lit(key)))).otherwise("")
+
+
 def exchange_market(exchange: Column) -> Column:
     """Market code of an exchange's name."""
-    return chosen(dim.EXCHANGE_NAMES, lambda part: F.contains(F.upper(exchange), F.lit(part)))
+    return within(dim.EXCHANGE_NAMES, F.upper(exchange))
 
 
 def looked_up(rows: tuple[tuple[str, str], ...], key: Column) -> Column:
@@ -56,10 +62,14 @@ def exchanges(countries: Column) -> Column:
 
 def known_page(name: Column, year: Column) -> Column:
     """Address of a known company's investor page: of the first key within the lower-case name; '' if none is."""
-    page = chosen(dim.KNOWN_PAGES, lambda key: F.contains(F.lower(F.trim(name)), F.lit(key)))
+    page = within(dim.KNOWN_PAGES, F.lower(F.trim(name)))
     return F.replace(page, F.lit("{year}"), year.cast("string"))
 
 
+def either(words) -> str:
+    return "|".join(re.escape(w) for w in words)
+
+
 def page_fault(url: Column) -> Column:
     """Why an address is no investor page: 'file', 'aggregator', 'exchange' or 'section' (another part of the site); else null.
 
@@ -68,17 +78,16 @@ def page_fault(url: Column) -> Column:
     site = host(url)
     bare = F.regexp_replace(site, "^[w.]+", "")
     file = F.lower(url).rlike(r"\.(pdf|doc|docx|xls|xlsx|zip|rar)$")
-    either = lambda tests: reduce(lambda a, b: a | b, tests)
+    # One pattern for a list, so that the host is cut out once for it and not for each of its words.
     return (
-        F.when(file, "file").when(either([F.contains(bare, F.lit(a)) for a in dim.AGGREGATORS]), "aggregator")
-        .when(either([(bare == e) | bare.endswith("." + e) for e in dim.EXCHANGE_SITES]), "exchange")
-        .when(either([site.startswith(b) for b in dim.REJECTED_BEGINNINGS]), "section")
+        F.when(file, "file").when(any_of(bare, dim.AGGREGATORS), "aggregator")
+        .when(bare.rlike(rf"(?:^|\.)(?:{either(dim.EXCHANGE_SITES)})\z"), "exchange").when(site.rlike(f"^(?:{either(dim.REJECTED_BEGINNINGS)})"), "section")
     )
 
 
 def page_preferred(url: Column) -> Column:
     """Whether the host's beginning speaks of investors."""
-    return reduce(lambda a, b: a | b, [host(url).startswith(b) for b in dim.PREFERRED_BEGINNINGS])
+    return host(url).rlike(f"^(?:{either(dim.PREFERRED_BEGINNINGS)})")
 
 
 def investor_page(name: Column, year: Column, resolved: Column) -> Column:

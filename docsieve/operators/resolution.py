@@ -75,17 +75,17 @@ def resolve(requests: DataFrame, listings: DataFrame, matches: DataFrame, profil
 
     url = known(F.col("url"))
     order = F.when(F.col("found_by") == "ticker", 0).when(F.col("found_by") == "name", 1).when(F.col("found_by") == "country", 2)
-    pages = sites.select(key, order.alias("order"), url.alias("url"), "found_by").where("order is not null and url is not null")
+    pages = sites.select(key, order.alias("order"), url.alias("url"), "found_by").where("order is not null and url is not null").withColumn("good", usable_page(F.col("url")).isNotNull())
     pick = lambda good: F.min(F.when(good, F.struct("order", "url", F.concat(F.lit("found by "), "found_by").alias("how"))))
     by = lambda n: F.col("order") == n
-    good = usable_page(F.col("url")).isNotNull()
+    good = F.col("good")
     some = pages.groupBy(key).agg(pick(by(0)).alias("by_ticker"), pick(by(1)).alias("by_name"), pick(by(2)).alias("by_country"), pick(by(0) & good).alias("good_ticker"), pick(by(1) & good).alias("good_name"))
-    base = base.join(some, key, "left")
+    base = base.join(some, key, "left").withColumn("known_page", known(markets.known_page(F.coalesce("name", F.lit("")), F.col("year"))))
     words = (ticker != "") & ~ticker.rlike(r"^\d+$")
     page = lambda value, how: F.when(value.isNotNull(), F.struct(value.alias("url"), F.lit(how).alias("how")))
     site = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.col(c)["url"].alias("url"), F.col(c)["how"].alias("how")))
     first = F.coalesce(page(F.col("website"), "profile"), F.when(words, site("by_ticker")), site("by_name"), F.when(F.col("country").isNotNull(), site("by_country")))
-    certain = page(known(markets.known_page(F.coalesce("name", F.lit("")), F.col("year"))), "known")
+    certain = page(F.col("known_page"), "known")
     chosen = F.coalesce(certain, first)
     base = base.withColumn("page", chosen)
     again = F.coalesce(F.when(words, site("good_ticker")), site("good_name"))
