@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from docsieve.functions import rules, scoring
 from docsieve.functions.text import branches, shortest
-from docsieve.operators import matching, searches
+from docsieve.operators import markets, matching, searches
 from docsieve.plans import waterfall
 from docsieve.sources import providers
 from docsieve.streaming import sessions
@@ -93,3 +93,29 @@ def test_no_rule_on_the_type_is_evaluated_twice(spark):
     plan = df.select("reject")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count(branches(shortest(rules.REJECT_PATH))) == 1
     assert [r["year_points"] for r in df.collect()] == [50, 50]
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_links_are_scored_once_before_a_filter(spark):
+    links = spark.createDataFrame([("https://a.com/ar-2020.pdf", 2020), ("https://a.com/x-2021.pdf", 2020), (None, 2020), ("https://a.com/2019-20/x", None)], "url string, year int")
+    points = scoring.prepared(links).withColumn("points", scoring.year_points(F.col("year")))
+    assert [r["points"] for r in points.collect()] == [50, -1, 0, -1]
+    kept = points.where("points >= 0").select("url", "points")
+    assert plan_of(kept).count("points_of_years") == 1
+    assert kept.count() == 2
+
+
+def test_forms_of_a_year_are_no_list_for_each_row(spark):
+    links = spark.createDataFrame([("https://a.com/fy20.pdf", "x", 2020, False), ("https://a.com/2019-20.pdf", "x", 2020, False), ("https://a.com/2018.pdf", "2020", 2020, True), ("https://a.com/1.pdf", None, None, False)], "url string, t string, year int, prior boolean")
+    found = links.withColumn("found", scoring.prior_year(F.col("url"), F.col("t"), F.col("year")))
+    assert "exists(" not in plan_of(found)
+    assert [r["found"] for r in found.collect()][:3] == [r["prior"] for r in links.collect()][:3]
+
+
+def test_the_host_is_cut_out_once_for_a_list_of_sites(spark):
+    sites = spark.createDataFrame([("https://www.bseindia.com/x",), ("https://notbseindia.com",), ("https://www.a.com/b.pdf",)], "url string").withColumn("fault", markets.page_fault(F.col("url")))
+    assert plan_of(sites).count("regexp_extract") <= 4
+    assert [r["fault"] for r in sites.collect()] == ["exchange", None, "file"]
