@@ -22,6 +22,13 @@ def anchors(pages: DataFrame, *, page: str = "page_id", url: str = "url", html:
     return rows.withColumn("link", absolute(F.col("base"), F.col("href")))
 
 
+def anchor_list(html: Column | str) -> Column:
+    """The same ``href, text`` as one array for each page."""
+    found = F.arrays_zip(F.regexp_extract_all(html, F.lit(ANCHOR), F.lit(1)).alias("href"), F.regexp_extract_all(html, F.lit(ANCHOR), F.lit(2)).alias("text"))
+    trimmed = F.transform(found, lambda a: F.struct(F.trim(a["href"]).alias("href"), F.trim(F.regexp_replace(a["text"], "<[^>]*>", "")).alias("text")))
+    return F.filter(trimmed, lambda a: a["href"] != "")
+
+
 def wanted(href: Column, text: Column, words: tuple[str, ...], phrases: tuple[str, ...]) -> Column:
     low, said = F.lower(href), F.lower(text)
     loads = F.contains(low, F.lit("pdf")) | F.contains(low, F.lit("download"))

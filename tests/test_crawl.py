@@ -43,3 +43,14 @@ def test_nothing_to_crawl(spark):
     pages = site(spark)
     assert crawl.in_reach(spark.createDataFrame([], "root string, url string"), pages).count() == 0
     assert crawl.in_reach(spark.createDataFrame([("s", "http://a.com/start")], "root string, url string"), pages.where("false")).count() == 0
+
+
+def test_packed_hops_are_those_of_rows(spark):
+    """Taken for all pages at once, hops reach the same pages and documents; the standard paths count only where they are pages."""
+    pages = site(spark)
+    starts = pages.selectExpr("url as root", "url").unionByName(spark.createDataFrame([("s", "http://a.com/start"), ("s", "http://a.com/reports"), ("n", None), ("m", "http://a.com/missing")], "root string, url string"))
+    rows = crawl.in_reach(starts, pages, depth=3)
+    want = found(rows, "root", "url", "depth")
+    assert found(crawl.in_reach(starts, pages, depth=3, packed=3), "root", "url", "depth") == want and ("s", "http://a.com/three", 1) in want
+    documents = found(crawl.documents_in_reach(rows, pages), "root", "depth", "link", "text")
+    assert found(crawl.documents_within(starts, pages, depth=3), "root", "depth", "link", "text") == documents and ("http://a.com/start", 2, "http://a.com/x.pdf", "Annual report") in documents
