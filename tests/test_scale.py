@@ -119,3 +119,19 @@ def test_the_host_is_cut_out_once_for_a_list_of_sites(spark):
     sites = spark.createDataFrame([("https://www.bseindia.com/x",), ("https://notbseindia.com",), ("https://www.a.com/b.pdf",)], "url string").withColumn("fault", markets.page_fault(F.col("url")))
     assert plan_of(sites).count("regexp_extract") <= 4
     assert [r["fault"] for r in sites.collect()] == ["exchange", None, "file"]
+
+
+def test_links_ruled_out_are_left_out_before_points(spark):
+    """``only_kept`` gives the rows that are not ruled out, scores unchanged, and the rule of years runs behind a filter."""
+    from docsieve.functions import scoring
+
+    rows = [
+        ("https://a.com/annual-report-2023.pdf", 200), ("https://www.careratings.com/annual-report-2023.pdf", 200), ("https://a.com/agm/annual-2023.pdf", 200), ("https://a.com/annual-report-2019.pdf", 200),
+        ("https://a.com/annual-report.html", 200), ("https://a.com/annual-2023.pdf", 404), ("https://a.com/report.pdf", None), (None, None),
+    ]
+    links = spark.createDataFrame(rows, "url string, head_status int").selectExpr("url", "head_status", "'A' as name", "2023 as year", "'annual_report' as doc_type", "'https://a.com' as ir_url", "'application/pdf' as content_type")
+    every, kept = scoring.scored(links), scoring.scored(links, only_kept=True)
+    want = sorted(map(str, every.where("reject is null").select("url", "score", "year_points").collect()))
+    assert sorted(map(str, kept.select("url", "score", "year_points").collect())) == want and len(want) == 4  # a page that answers as a PDF counts as one
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") >= 2
