@@ -63,6 +63,32 @@ def test_line_dedup_without_broadcast_and_without_rows(spark, monkeypatch):
     assert line_dedup.dedup_lines(docs.limit(0)).count() == 0
 
 
+def test_bitmaps_tell_unrelated_long_lines_apart(spark):
+    """Maps never differ in more bits than the sets do in words, and unrelated sets' maps in more than similar ones may."""
+    sets = [sorted(rng.sample(range(1 << 40), n)) for n in (5, 40, 64, 64, 70, 100, 128, 128, 130, 150, 160, 160, 170, 190)]
+    sets += [[w for w in s if rng.random() < 0.95] + rng.sample(range(1 << 40), 3) for s in sets]
+    rows = spark.createDataFrame(list(enumerate(sets)), "i int, w array<long>").select("i", F.size("w").alias("n"), *line_dedup.bitmap(F.col("w")))
+    left, right = rows.toDF("a", "n", *line_dedup.BITS), rows.toDF("b", "n2", *[f"other {c}" for c in line_dedup.BITS])
+    bits = line_dedup.differing(F.col("n"), F.col("n2"), [F.col(c) for c in line_dedup.BITS], [F.col(f"other {c}") for c in line_dedup.BITS])
+    far = 0
+    for r in left.crossJoin(right).where("a < b and 10 * least(n, n2) >= 8 * greatest(n, n2)").select("a", "b", bits.alias("bits")).collect():
+        x, y = set(sets[r["a"]]), set(sets[r["b"]])
+        assert r["bits"] <= len(x ^ y)
+        if len(x) >= 40 and not x & y:
+            far += 1
+            assert r["bits"] > len(x) + len(y) - 2 * 4 * (len(x) + len(y)) / 9
+    assert far > 40
+
+
+@pytest.mark.parametrize("mixed", [False, True])
+def test_any_order_of_words_gives_the_same_lines(spark, monkeypatch, mixed):
+    docs = spark.createDataFrame(TEXTS + [(200 + i, line(150) + " " + " ".join(f"x{j}" for j in range(100, 100 + 12 * i))) for i in range(9)], "doc_id long, text string")
+    want = sorted(map(str, line_dedup.removed_lines(docs).collect()))
+    order = bytearray(rng.randrange(1, 127) for _ in range(64)) if mixed else bytearray(b"\x01" * 64)
+    monkeypatch.setattr(line_dedup, "rarity_table", lambda *a: order)
+    assert sorted(map(str, line_dedup.removed_lines(docs, buckets=64).collect())) == want
+
+
 @pytest.mark.parametrize("law", ["bytes", "rows"])
 def test_shards_are_even_and_slots_gapless(spark, law):
     rows = [(rng.randrange(10**6), "é" * rng.randint(0, 80)) for _ in range(3000)] + [(77, f"hot {i}") for i in range(1500)]
