@@ -75,9 +75,10 @@ class Deal:
         n = np.where(last == types + 1, self.begins, self.words.count(last))
         return np.where(last == types, self.buckets, np.maximum(1, -(-n // self.most)))
 
-    def bucket(self, last: np.ndarray, word: np.ndarray) -> np.ndarray:
-        share = mixed(word) % self.shares(last).astype(np.uint64)
-        return (mixed(mixed(last) + share) % np.uint64(self.buckets)).astype(np.int64)
+    def bucket(self, names: np.ndarray, last: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """``last`` and ``word`` are places in ``names``, so that what depends on one word is worked out once for it."""
+        hashes, shares = mixed(names), self.shares(names).astype(np.uint64)
+        return (mixed(hashes[last] + hashes[word] % shares[last]) % np.uint64(self.buckets)).astype(np.int64)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -234,27 +235,63 @@ def contexts(tokens: np.ndarray, lengths: np.ndarray, order: int, begin: int) ->
     return [np.where(at >= k, np.roll(tokens, k), begin) for k in range(1, order)]
 
 
-def codes(*columns: np.ndarray) -> np.ndarray:
-    """Equal rows of the columns get equal numbers from 0 on."""
-    out = columns[0]
-    for i, c in enumerate(columns[1:]):
-        if int(out.max(initial=0)) + 1 > (1 << 62) // (int(c.max(initial=0)) + 1):
-            out, c = (np.unique(x, return_inverse=True)[1] for x in (out, c))
-        out = out * (int(c.max(initial=0)) + 1) + c
-        if i < len(columns) - 2:
-            out = np.unique(out, return_inverse=True)[1]
-    return np.unique(out, return_inverse=True)[1]
+def named(tokens: np.ndarray, lengths: np.ndarray, order: int, begin: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The different words in order, ``begin`` last, and the n-grams' columns as places among them."""
+    names, local = np.unique(tokens, return_inverse=True)
+    return np.append(names, begin), [*contexts(local, lengths, order, len(names)), local]
 
 
-def sorted_runs(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """The order by the columns, the first one first, and where runs of equal rows begin in it."""
-    order = np.lexsort(columns[::-1])
+def joined(columns: list[np.ndarray]) -> list[np.ndarray]:
+    """Columns of numbers from 0 on, as few as 63 bits each allow, that sort as the given ones do."""
+    out, bits = [], 64
+    for c in columns:
+        width = int(c.max(initial=0)).bit_length()
+        if bits + width > 63:
+            out.append(c.astype(np.int64))
+            bits = width
+        else:
+            out[-1] = out[-1] << width | c
+            bits += width
+    return out
+
+
+def changes(columns: list[np.ndarray], order: np.ndarray) -> np.ndarray:
+    """Whether a row, in the order, differs from the one before; the first does."""
     new = np.zeros(len(order), bool)
     new[:1] = True
     for c in columns:
         x = c[order]
         new[1:] |= x[1:] != x[:-1]
-    return order, np.flatnonzero(new)
+    return new
+
+
+def ordered(columns: list[np.ndarray]) -> np.ndarray:
+    """The order by columns that come from ``joined``."""
+    return np.argsort(columns[0]) if len(columns) == 1 else np.lexsort(columns[::-1])
+
+
+def codes(*columns: np.ndarray) -> np.ndarray:
+    """Equal rows of the columns get equal numbers from 0 on."""
+    return nested([*columns, np.zeros(len(columns[0]), np.int64)])[1]
+
+
+def nested(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers from 0 on, in the columns' order: equal for rows that agree but for the last column, and for equal rows."""
+    keys = joined(columns)
+    order = ordered(keys)
+    out = []
+    for same in (joined(columns[:-1]), keys):
+        numbers = np.empty(len(order), np.int64)
+        numbers[order] = np.cumsum(changes(same, order)) - 1
+        out.append(numbers)
+    return out[0], out[1]
+
+
+def sorted_runs(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The order by the columns, the first one first, and where runs of equal rows begin in it."""
+    keys = joined(columns)
+    order = ordered(keys)
+    return order, np.flatnonzero(changes(keys, order))
 
 
 def dealt(chunks: DataFrame, order: int, shared, asking: bool) -> DataFrame:
@@ -265,15 +302,15 @@ def dealt(chunks: DataFrame, order: int, shared, asking: bool) -> DataFrame:
             for r in batch.to_pylist():
                 tokens, lengths, learn = unpacked(r["tokens"]), unpacked(r["lengths"]), unpacked(r["learn"]) > 0
                 deal = shared.value
-                columns = [*contexts(tokens, lengths, order, deal.words.types + 1), tokens]
+                names, columns = named(tokens, lengths, order, deal.words.types + 1)
                 row = np.repeat(np.arange(len(lengths)), lengths)
                 if not asking:
                     columns = [c[learn[row]] for c in columns]
                     row = np.zeros(0, np.int64)
-                keys = [deal.bucket(columns[0], columns[-1]), *columns, *[row] * asking]
+                keys = [deal.bucket(names, columns[0], columns[-1]), *columns, *[row] * asking]
                 by, first = sorted_runs(keys)
                 n = np.diff(np.append(first, len(by)))
-                keys = [k[by[first]] for k in keys]
+                keys = [names[k[by[first]]] if 0 < x <= order else k[by[first]] for x, k in enumerate(keys)]
                 edge = np.flatnonzero(np.diff(keys[0], prepend=-1, append=-1))
                 for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
                     grams = [packed(np.diff(keys[1][a:b], prepend=0)), *[packed(k[a:b]) for k in keys[2 : order + 1]]]
@@ -300,7 +337,7 @@ def counted(order: int, k: int):
         columns, n = [c[by[first]] for c in columns], np.add.reduceat(n[by], first)
         found = []
         for m in range(2, order + 1):
-            sums = np.bincount(codes(*columns[: m - 1], columns[-1]), n).astype(np.int64)
+            sums = np.bincount(codes(*columns[: m - 1], columns[-1]), n).astype(np.int64) if m < order else n
             found += np.bincount(np.minimum(sums, k + 2), minlength=k + 3)[1 : k + 2].tolist()
         grams = [packed(np.diff(columns[0], prepend=0)), *map(packed, columns[1:])]
         return pa.table({"j": pa.array([table["j"][0].as_py()]), "grams": pa.array([grams], pa.list_(pa.binary())), "n": pa.array([packed(n)], pa.binary()), "found": pa.array([found], pa.list_(pa.int64()))})
@@ -325,8 +362,7 @@ class Level:
     """The n-grams of one order among rows of n-grams (counts of 0: rows that only ask)."""
 
     def __init__(self, columns: list[np.ndarray], n: np.ndarray, order: int, factor: np.ndarray):
-        self.context = codes(*columns[: order - 1])
-        self.gram = codes(*columns[: order - 1], columns[-1])
+        self.context, self.gram = nested([*columns[: order - 1], columns[-1]])
         self.count = np.bincount(self.gram, n).astype(np.int64)
         self.mass = self.count * np.where(self.count < len(factor), factor[np.minimum(self.count, len(factor) - 1)], 1.0)
 
@@ -384,10 +420,11 @@ def asked_contexts(chunks: DataFrame, order: int, shared) -> DataFrame:
         for batch in batches:
             for t, n in zip(batch["tokens"].to_pylist(), batch["lengths"].to_pylist(), strict=True):
                 tokens = unpacked(t)
-                columns = [*contexts(tokens, unpacked(n), order, deal.words.types + 1), tokens]
-                mine = (deal.shares(columns[0]) > 1) & (columns[0] != deal.words.types)
+                ids, columns = named(tokens, unpacked(n), order, deal.words.types + 1)
+                mine = ((deal.shares(ids) > 1) & (ids != deal.words.types))[columns[0]]
                 columns = [c[mine] for c in columns]
-                j = deal.bucket(columns[0], columns[-1])
+                j = deal.bucket(ids, columns[0], columns[-1])
+                columns = [ids[c] for c in columns]
                 for m in range(2, order + 1) if len(j) else ():
                     at = np.unique(codes(j, *columns[: m - 1]), return_index=True)[1]
                     yield pa.RecordBatch.from_arrays([pa.array(j[at]), *context_rows(columns, m, at)], ["j", *names])

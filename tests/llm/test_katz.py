@@ -115,6 +115,22 @@ def test_empty_model(spark):
     assert katz.score(model).count() == 0
 
 
+@pytest.mark.parametrize("most", [1, 3, 1 << 20, 1 << 40])
+def test_numbers_of_rows(most):
+    """One sort gives the numbers of contexts and of n-grams, also where the columns need more than 63 bits."""
+    numbers = np.random.default_rng(most)
+    pool = numbers.integers(0, most, (9, 3))
+    columns = list(pool[numbers.integers(0, 9, 200)].T)
+    columns[2] = numbers.integers(0, 3, 200) * (most // 2)
+    context, gram = katz.nested(columns)
+    rows = list(zip(*(c.tolist() for c in columns), strict=True))
+    assert context.tolist() == [sorted({r[:2] for r in rows}).index(r[:2]) for r in rows]
+    assert gram.tolist() == [sorted(set(rows)).index(r) for r in rows] == katz.codes(*columns).tolist()
+    order, first = katz.sorted_runs(columns)
+    assert [rows[i] for i in order] == sorted(rows) and [rows[i] for i in order[first]] == sorted(set(rows))
+    assert len(katz.nested([np.zeros(0, np.int64)] * 3)[0]) == 0
+
+
 def test_packing():
     for x in ([], [0], [1, 255, 256, 2**40], range(1000)):
         assert katz.unpacked(katz.packed(np.array(list(x), np.int64))).tolist() == list(x)
